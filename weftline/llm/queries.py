@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, distinctive, packing
+from weftline.llm import bpe, distinctive, langid, packing, pages
+from weftline.llm.words import LANGS
 from weftline.operators.postings import word_pages
 from weftline.sources.tables import table
 
@@ -27,6 +28,51 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.most_distinctive(p1_scores(spark, sf_dir))
 
 
+#: Share of a body's words in keywords, links or tags from which a page is stuffed.
+STUFFED = 0.5
+#: Sentences that make a language one of a page.
+LEAST_SENTENCES = 3
+
+
+def _bodies(spark: SparkSession, sf_dir: str, languages: bool = False) -> DataFrame:
+    model = langid.fit(table(spark, sf_dir, "documents")) if languages else None
+    return pages.bodies(table(spark, sf_dir, "crawl").select("fetch_id", "host", "url", "page"), model)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches whose own content is mostly keywords, links or tags."""
+    return _bodies(spark, sf_dir).where(F.col("stuffed") > STUFFED).select("fetch_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the text blocks of every page's main body."""
+    kept = _bodies(spark, sf_dir).where(F.col("stuffed") <= STUFFED)
+    return kept.select("fetch_id", F.explode(F.transform("own", lambda x: x["no"])).alias("block_no"))
+
+
+def _languages(bodies: DataFrame) -> DataFrame:
+    total = lambda i: F.aggregate("own", F.lit(0), lambda a, x: a + F.coalesce(F.get(x["s"], F.lit(i)), F.lit(0)))
+    sums = [total(i) for i in range(len(LANGS))]
+    named = F.array(*[F.struct(F.lit(name).alias("lang"), n.alias("n")) for name, n in zip(LANGS, sums)])
+    return bodies.withColumn("langs", F.filter(named, lambda x: x["n"] >= LEAST_SENTENCES))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of pages without a label, with a wrong one, or with two languages."""
+    kept = _languages(_bodies(spark, sf_dir, True).where(F.col("stuffed") <= STUFFED))
+    known = F.exists("langs", lambda x: x["lang"] == F.col("label"))
+    return kept.where(~known | (F.size("langs") > 1)).select("fetch_id", F.explode("langs").alias("x")).select("fetch_id", "x.lang")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every block of sentences of every main body; 'und' where no sentence is sure."""
+    kept = _bodies(spark, sf_dir, True).where(F.col("stuffed") <= STUFFED)
+    rows = kept.select("fetch_id", F.explode(F.filter("own", lambda x: x["conf"] > 0)).alias("x"))
+    most = F.array_max("x.s")
+    lang = F.when(most > 0, F.get(F.array(*map(F.lit, LANGS)), (F.array_position("x.s", most) - 1).cast("int"))).otherwise("und")
+    return rows.select("fetch_id", F.col("x.no").alias("block_no"), lang.alias("lang"), F.col("x.conf").cast("double").alias("confidence"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k; empty and null texts have the empty list."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,7 +104,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_scores, p1_scores_idf, p8_ids, p8_round_trip, p9_containers, p9_report)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p1_scores_idf, p2_found, p3_found, p3_segments, p5_found, p8_ids, p8_round_trip, p9_containers, p9_report)}
 
 
 def oracle_sql() -> dict[str, str]:
