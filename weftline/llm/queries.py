@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, distinctive, langid, packing, pages
+from weftline.llm import bpe, distinctive, langid, packing, pages, quality
 from weftline.llm.words import LANGS
 from weftline.operators.postings import word_pages
 from weftline.sources.tables import table
@@ -103,8 +103,24 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(p9_containers(spark, sf_dir))
 
 
+#: Score under which a document is like others of its language in every way (a tail probability of 0.9).
+LEAST_SCORE = 0.1
+#: Share of characters outside prose from which a candidate is no prose.
+JUNK = 0.5
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and outlier score of every document."""
+    return quality.outlier_scores(quality.measure(table(spark, sf_dir, "documents")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outliers of their language with most characters outside prose."""
+    return p10_statistics(spark, sf_dir).where((F.col("score") >= LEAST_SCORE) & (F.col("junk_share") > JUNK)).select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_scores, p1_scores_idf, p2_found, p3_found, p3_segments, p5_found, p8_ids, p8_round_trip, p9_containers, p9_report)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p1_scores_idf, p2_found, p3_found, p3_segments, p5_found, p8_ids, p8_round_trip, p9_containers, p9_report, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

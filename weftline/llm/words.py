@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 LANGS = ("en", "fr", "de", "es", "it")
 
@@ -25,14 +26,15 @@ for _i, _s in enumerate(SETS):
         MASKS[_w] = MASKS.get(_w, 0) | 1 << _i
 
 
+_MEMBERS = {m: tuple(i for i in range(len(LANGS)) if m >> i & 1) for m in range(1, 1 << len(LANGS))}
+
+
 def function_words(words: list[str]) -> tuple[int, int]:
     """(number of function words, language index) of the language that has most of them; -1 if none has any."""
     counts = [0] * len(LANGS)
-    get = MASKS.get
-    for w in words:
-        if m := get(w):
-            for i in range(len(LANGS)):
-                if m >> i & 1:
-                    counts[i] += 1
+    for mask, n in Counter(map(MASKS.get, words)).items():
+        if mask:
+            for i in _MEMBERS[mask]:
+                counts[i] += n
     most = max(counts)
     return (most, counts.index(most)) if most else (0, -1)
