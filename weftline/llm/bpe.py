@@ -74,7 +74,7 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def _fold(word: Column, rank) -> Column:
     """Ids of a word (string column) by a fold over its bytes; for short words."""
-    raw = F.encode(word, "UTF-8")
+    raw = word.cast("binary")
     parts = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(raw, i, F.lit(1)))
 
     def lowest(p: Column) -> Column:
@@ -116,7 +116,7 @@ class Encoder:
 
     def _word(self, word: Column) -> Column:
         """Ids (bigint) of a short word: itself if it is one token, else the fold."""
-        whole = self._rank(F.encode(word, "UTF-8"))
+        whole = self._rank(word.cast("binary"))
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(_fold(word, self._rank))
 
     def _head(self, docs: DataFrame) -> Column | None:
@@ -156,7 +156,7 @@ class Encoder:
         docs = docs.withColumn("__long", merge_long(sparse))
 
         def of(w: Column, i: Column) -> Column:
-            known = [lookup(table, F.encode(w, "UTF-8"))] if table is not None else []
+            known = [lookup(table, w.cast("binary"))] if table is not None else []
             return F.coalesce(*known, F.get("__long", i), self._word(w).cast("array<int>"))
 
         return docs.withColumn(ids, F.flatten(F.transform("__words", of))).drop("__words", "__long")

@@ -49,12 +49,21 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
     remaining, bin_ = len(tokens), 0
     while remaining:
         room_t, room_s, room_n = float(capacity), float(loss_limit), segments
-        while room_n and remaining:
-            fits = (left > 0) & (t <= room_t) & (s <= room_s)
-            if not fits.any():
+        while room_n:
+            # Kinds are sorted by tokens: those that fit are a suffix.
+            k0 = int(np.searchsorted(-t, -room_t))
+            if k0 == len(t):
                 break
-            score = np.where(fits, dt * (room_t / capacity) + ds * (room_s / loss_limit) + one * (room_n / segments), -1.0)
+            score = dt[k0:] * (room_t / capacity)
+            score += ds[k0:] * (room_s / loss_limit)
+            score += one * (room_n / segments)
+            score[left[k0:] == 0] = -1.0
+            if room_s < room_t:
+                score[s[k0:] > room_s] = -1.0
             k = int(score.argmax())
+            if score[k] < 0:
+                break
+            k += k0
             out[queues[k].pop()] = bin_
             left[k] -= 1
             room_t -= t[k]
@@ -62,7 +71,7 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
             room_n -= 1
             remaining -= 1
         bin_ += 1
-        if bin_ % 64 == 0 and (left == 0).sum() * 2 > len(left):
+        if bin_ % 64 == 0:
             keep = left > 0
             t, s, dt, ds, left = t[keep], s[keep], dt[keep], ds[keep], left[keep]
             queues = [q for q, k in zip(queues, keep) if k]
