@@ -28,6 +28,7 @@ CACHE_WORDS = 200_000
 
 _CODE = re.compile(r"\w*\d\w*")
 SENTENCE = re.compile(r"[^.!?…]+[.!?…]+")
+_PIECE = re.compile(r"[^.!?…]+[.!?…]*")
 
 
 def subwords(word: str) -> list[int]:
@@ -78,17 +79,61 @@ class LanguageModel:
         return e / e.sum(1, keepdims=True)
 
 
+def _words(text: str) -> list[str]:
+    return WORD.findall(_CODE.sub(" ", text.lower()))
+
+
+def _enough(words: list[str]) -> bool:
+    return len(words) >= 3 and sum(len(w) > 1 for w in words) >= 3
+
+
 def sentences_of(text: str) -> list[list[str]]:
     """Words of the sentences of a text: stretches of three or more words that end in a full stop, ! or ?.
 
     Codes (tokens with digits) are no words, and three words must have two letters or more.
     """
-    out = []
-    for m in SENTENCE.finditer(text):
-        words = WORD.findall(_CODE.sub(" ", m.group().lower()))
-        if len(words) >= 3 and sum(len(w) > 1 for w in words) >= 3:
-            out.append(words)
-    return out
+    return [w for m in SENTENCE.finditer(text) if _enough(w := _words(m.group()))]
+
+
+def pieces_of(text: str) -> list[list[str]]:
+    """Words of all of a text by piece: its sentences and what follows the last one without an end mark.
+
+    What is too short for a sentence goes with the piece before it, at the
+    start with the one after it.  A text without sentences is one piece, which
+    has no words if the text has none.
+    """
+    out: list[list[str]] = []
+    head: list[str] = []
+    for m in _PIECE.finditer(text):
+        words = _words(m.group())
+        if _enough(words):
+            out.append(head + words)
+            head = []
+        elif out:
+            out[-1] += words
+        else:
+            head += words
+    return out or [head]
+
+
+def runs(p: np.ndarray, owner: np.ndarray, sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, number of words, language index, mean probabilities) of the runs of pieces of one language.
+
+    A run is as many pieces in a row of one owner as have the same likeliest
+    language; its language is -1 if no piece reaches ``least``, and neighbours
+    without a language are one run.  Pieces without words have probability 0.
+    """
+    p = np.where(sizes[:, None] > 0, p, 0.0)
+    if not len(p):
+        return owner, sizes, owner, p
+    most = p.argmax(1)
+    start = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (most[1:] != most[:-1])])
+    lang = np.where(np.maximum.reduceat(p.max(1), start) >= least, most[start], -1)
+    own = owner[start]
+    kept = np.r_[True, (own[1:] != own[:-1]) | (lang[1:] != -1) | (lang[:-1] != -1)]
+    start, lang = start[kept], lang[kept]
+    n = np.diff(np.r_[start, len(p)])
+    return owner[start], np.add.reduceat(sizes, start), lang, np.add.reduceat(p, start) / n[:, None]
 
 
 def train(samples: list[tuple[list[str], int]], epochs: int = 3, seed: int = 7) -> LanguageModel:

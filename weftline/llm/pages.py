@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.blocks import blocks
-from weftline.llm.langid import LanguageModel, sentences_of
+from weftline.llm.langid import LanguageModel, pieces_of, runs, sentences_of
 from weftline.llm.words import LANGS, WORD, function_words
 from weftline.operators.skew import salted_join
 from weftline.sources.tables import cut
@@ -36,8 +36,12 @@ BROADCAST_HOSTS = 100_000
 #: A container holds a page's prose if it has this share of it.
 PROSE_SHARE = 0.8
 KEY_CHARS = 200
+#: Pieces of texts up to this length are kept, as most recur within a site.
+SHORT_CHARS = 80
 
-BLOCK = "struct<no:int,path:string,top:int,n:int,f:int,l:int,flag:int,linked:boolean,key:bigint,prefix:bigint,s:array<int>,conf:float>"
+_FIELDS = "no:int,path:string,top:int,n:int,f:int,l:int,flag:int,linked:boolean,key:bigint,prefix:bigint,s:array<int>"
+#: ``runs``: words, language (-1 for none) and mean probabilities of each run of pieces of one language.
+BLOCK = f"struct<{_FIELDS},runs:array<struct<n:int,lang:int,p:array<float>>>>"
 SCHEMA = f"fetch_id bigint, host string, url string, label string, best string, prose bigint, b array<{BLOCK}>"
 
 #: Bits of a block's flag: why its words count as no sentences whatever its function words.
@@ -79,12 +83,15 @@ def _body_path(path: str) -> str:
     return _ORDINAL.sub(r"\1#", path)
 
 
+_short_pieces = lru_cache(1 << 14)(pieces_of)
+
+
 def _hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
 
 
-def features(page: str, host: str | None) -> tuple[list[tuple], str | None, int, list[list[list[str]]]]:
-    """Blocks as tuples in the order of BLOCK (without s, conf), voted path, prose size, sentences by block."""
+def features(page: str, host: str | None, stretches: bool = False) -> tuple[list[tuple], str | None, int, list[list[list[str]]]]:
+    """Blocks as tuples in the order of BLOCK (without s, runs), voted path, prose size, sentences (or all pieces) by block."""
     found = blocks(page)
     times = Counter(b.text for b in found)
     times_path = Counter(b.path for b in found)
@@ -137,14 +144,28 @@ def features(page: str, host: str | None) -> tuple[list[tuple], str | None, int,
                 prose[at] += chars
                 at = at[: at.rfind(">")]
         rows.append((no, path, top, n, f, lang, flag, linked, key, prefix))
+        if stretches:
+            sentences.append(_short_pieces(b.text) if len(b.text) <= SHORT_CHARS else pieces_of(b.text))
+            continue
         sentences.append([] if flag & (LINKED | SEPARATED) or n < 3 else sentences_of(b.text))
     best = max((p for p, c in prose.items() if c >= PROSE_SHARE * total), key=lambda p: (p.count(">"), prose[p]), default=None)
     return rows, best, total, sentences
 
 
-def _digest(model: LanguageModel | None):
+def _run_lists(model: LanguageModel, pieces: list[list[str]], counts: list[int]) -> pa.ListArray:
+    """Runs of every block; ``counts``: pieces of each."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    of, n, lang, p = runs(model.probabilities(pieces), owner, sizes, model.least)
+    k = len(LANGS)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1) * k, pa.int32()), pa.array(p.astype(np.float32).ravel()))
+    items = pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(lang, pa.int32()), lists], ["n", "lang", "p"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(counts) + 1)), pa.int32()), items)
+
+
+def _digest(model: LanguageModel | None, stretches: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split(":")[0] for x in BLOCK[7:-1].split(",")]
+        names = [x.split(":")[0] for x in _FIELDS.split(",")] + ["runs"]
         types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -154,7 +175,7 @@ def _digest(model: LanguageModel | None):
                 sentences: list[list[str]] = []
                 counts: list[int] = []
                 for page, host in zip(part.column(3).to_pylist(), hosts.to_pylist()):
-                    rows, best, prose, found = features(page, host)
+                    rows, best, prose, found = features(page, host, stretches)
                     labels.append(label(page))
                     bests.append(best)
                     proses.append(prose)
@@ -165,21 +186,20 @@ def _digest(model: LanguageModel | None):
                             counts.append(len(xs))
                             sentences += xs
                 k = len(LANGS)
-                if model:
+                if model and not stretches:
                     p = model.probabilities(sentences)
                     most, sure = (p.argmax(1), p.max(1)) if len(p) else (np.zeros(0, int), np.zeros(0))
                     owner = np.repeat(np.arange(len(flat)), counts) if flat else np.zeros(0, int)
                     kept = sure >= model.least
                     per = np.zeros((len(flat), k), np.int32)
                     np.add.at(per, (owner[kept], most[kept]), 1)
-                    n_all = np.maximum(np.bincount(owner, minlength=len(flat)), 1)
-                    conf = np.bincount(owner, sure, minlength=len(flat)) / n_all
                     s = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * k, pa.int32()), pa.array(per.ravel()))
-                    confs = pa.array(conf.astype(np.float32))
                 else:
-                    s, confs = pa.nulls(len(flat), pa.list_(pa.int32())), pa.nulls(len(flat), pa.float32())
+                    s = pa.nulls(len(flat), pa.list_(pa.int32()))
+                run_type = pa.list_(pa.struct([("n", pa.int32()), ("lang", pa.int32()), ("p", pa.list_(pa.float32()))]))
+                of_blocks = _run_lists(model, sentences, counts) if model and stretches else pa.nulls(len(flat), run_type)
                 columns = list(zip(*flat)) if flat else [()] * len(types)
-                arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [s, confs]
+                arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [s, of_blocks]
                 b = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(arrays, names))
                 yield pa.record_batch(
                     [ids, hosts, urls, pa.array(labels, pa.string()), pa.array(bests, pa.string()), pa.array(proses, pa.int64()), b],
@@ -189,10 +209,10 @@ def _digest(model: LanguageModel | None):
     return run
 
 
-def digest(crawl: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+def digest(crawl: DataFrame, model: LanguageModel | None = None, stretches: bool = False) -> DataFrame:
     """Blocks and features of every row with a page, written once to the shared folder."""
     pages = crawl.where("page is not null").select("fetch_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("url", F.lit("")).alias("url"), "page")
-    return cut(pages.mapInArrow(_digest(model), SCHEMA))
+    return cut(pages.mapInArrow(_digest(model, stretches), SCHEMA))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -281,12 +301,13 @@ def stuffed_share(own: Column, thresholds: list[float]) -> Column:
     return F.when(words > 0, stuffed / words).otherwise(F.lit(0.0))
 
 
-def bodies(crawl: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+def bodies(crawl: DataFrame, model: LanguageModel | None = None, stretches: bool = False) -> DataFrame:
     """(fetch_id, url, label, own, stuffed) of every row of ``crawl`` that has a page.
 
     ``crawl``: fetch_id, host, url, page.  Null hosts and urls count as empty,
-    a page without text has an empty body; repeated rows stay.
+    a page without text has an empty body; repeated rows stay.  With a model
+    blocks have counts of sentences, or with ``stretches`` runs in their place.
     """
-    own = own_blocks(digest(crawl, model))
+    own = own_blocks(digest(crawl, model, stretches))
     own = cut(own)
     return own.withColumn("stuffed", stuffed_share(F.col("own"), calibrate(own)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, distinctive, langid, packing, pages, quality
@@ -34,9 +34,9 @@ STUFFED = 0.5
 LEAST_SENTENCES = 3
 
 
-def _bodies(spark: SparkSession, sf_dir: str, languages: bool = False) -> DataFrame:
+def _bodies(spark: SparkSession, sf_dir: str, languages: bool = False, stretches: bool = False) -> DataFrame:
     model = langid.fit(table(spark, sf_dir, "documents")) if languages else None
-    return pages.bodies(table(spark, sf_dir, "crawl").select("fetch_id", "host", "url", "page"), model)
+    return pages.bodies(table(spark, sf_dir, "crawl").select("fetch_id", "host", "url", "page"), model, stretches)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +64,34 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.where(~known | (F.size("langs") > 1)).select("fetch_id", F.explode("langs").alias("x")).select("fetch_id", "x.lang")
 
 
+def _named(lang: Column) -> Column:
+    return F.coalesce(F.get(F.array(*map(F.lit, LANGS)), F.nullif(lang, F.lit(-1))), F.lit("und"))
+
+
 def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language and confidence of every block of sentences of every main body; 'und' where no sentence is sure."""
-    kept = _bodies(spark, sf_dir, True).where(F.col("stuffed") <= STUFFED)
-    rows = kept.select("fetch_id", F.explode(F.filter("own", lambda x: x["conf"] > 0)).alias("x"))
-    most = F.array_max("x.s")
-    lang = F.when(most > 0, F.get(F.array(*map(F.lit, LANGS)), (F.array_position("x.s", most) - 1).cast("int"))).otherwise("und")
-    return rows.select("fetch_id", F.col("x.no").alias("block_no"), lang.alias("lang"), F.col("x.conf").cast("double").alias("confidence"))
+    """Language and confidence of every stretch of one language in every block of every main body.
+
+    The confidence is the mean probability of the stretch's language; 'und',
+    with that of the likeliest language, where no piece of it is sure.
+    """
+    blocks = _bodies(spark, sf_dir, True, True).select("fetch_id", F.explode("own").alias("x"))
+    rows = blocks.select("fetch_id", F.col("x.no").alias("block_no"), F.posexplode("x.runs").alias("segment", "r"))
+    sure = F.when(F.col("r.lang") >= 0, F.get("r.p", F.col("r.lang"))).otherwise(F.array_max("r.p"))
+    return rows.select("fetch_id", "block_no", "segment", _named(F.col("r.lang")).alias("lang"), sure.cast("double").alias("confidence"))
+
+
+def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every page: the likeliest of its main body, by mean probability over the words.
+
+    'und' where no stretch is sure, with confidence 0 where the body has no words.
+    """
+    rows = _bodies(spark, sf_dir, True, True).select("fetch_id", F.flatten(F.transform("own", lambda x: x["runs"])).alias("r"))
+    words = F.aggregate("r", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    mean = F.array(*[F.aggregate("r", F.lit(0.0), lambda a, x: a + x["n"] * F.get(x["p"], F.lit(i))) / F.greatest(words, F.lit(1)) for i in range(len(LANGS))])
+    most = rows.withColumn("p", mean).withColumn("confidence", F.array_max("p"))
+    sure = F.exists("r", lambda x: x["lang"] >= 0)
+    lang = F.when(sure, F.array_position("p", F.col("confidence")).cast("int") - 1).otherwise(-1)
+    return most.select("fetch_id", _named(lang).alias("lang"), "confidence")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +141,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_scores, p1_scores_idf, p2_found, p3_found, p3_segments, p5_found, p8_ids, p8_round_trip, p9_containers, p9_report, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_scores, p1_scores_idf, p2_found, p3_found, p3_pages, p3_segments, p5_found, p8_ids, p8_round_trip, p9_containers, p9_report, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
