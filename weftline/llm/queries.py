@@ -124,9 +124,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.container_report(p9_containers(spark, sf_dir))
 
 
-#: Score under which a document is like others of its language in every way (a tail probability of 0.9).
-LEAST_SCORE = 0.1
-#: Share of characters outside prose from which a candidate is no prose.
+#: Share of characters outside prose from which a document is no prose.
 JUNK = 0.5
 
 
@@ -136,8 +134,8 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outliers of their language with most characters outside prose."""
-    return p10_statistics(spark, sf_dir).where((F.col("score") >= LEAST_SCORE) & (F.col("junk_share") > JUNK)).select("doc_id")
+    """Documents with most characters outside prose, whatever their rank: where most of a language is junk, junk is no outlier."""
+    return quality.measure(table(spark, sf_dir, "documents")).where(F.col("junk_share") > JUNK).select("doc_id")
 
 
 def queries() -> dict:
