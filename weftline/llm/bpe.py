@@ -161,6 +161,21 @@ class Encoder:
 
         return docs.withColumn(ids, F.flatten(F.transform("__words", of))).drop("__words", "__long")
 
+    def tokens_within(self, ids: Column, n_bytes: Column) -> Column:
+        """Number of leading ids whose bytes all lie in the first ``n_bytes`` of the text."""
+        lengths = [0] * (max(self.ranks.values()) + 1)
+        for k, v in self.ranks.items():
+            lengths[v] = len(k)
+        table = array_literal(self.spark, pa.array(lengths, pa.int32()))
+        # Every id has a byte or more, so the first n_bytes ids are enough.
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+
+        def step(acc: Column, i: Column) -> Column:
+            end = acc["end"] + F.get(table, i)
+            return F.struct(end.alias("end"), (acc["n"] + (end <= n_bytes).cast("int")).alias("n"))
+
+        return F.aggregate(F.slice(ids, F.lit(1), n_bytes), start, step, lambda acc: acc["n"])
+
     def decode(self, ids: Column) -> Column:
         """The text of a list of ids: binary pieces concatenated; '' for the empty list, null for null."""
         size = max(self.ranks.values()) + 1

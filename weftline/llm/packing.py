@@ -4,7 +4,9 @@ Vector bin packing by the dot-product heuristic: an open container takes, of
 the items that fit under every limit, the one whose demands point most in the
 direction of what the container has left.  Limits are tokens, segments and
 loss-bearing tokens.  Texts longer than the capacity are cut into full
-containers and a rest; no other text is split.
+containers and a rest; no other text is split.  A piece with more loss-bearing
+tokens than their limit takes all of the limit: beside it only texts without
+loss are placed.
 
 Packing runs in groups of about ``GROUP_ROWS`` pieces, formed by the hash of
 their place in a written table (not of the id, which may repeat), so any number
@@ -23,7 +25,8 @@ from weftline.sources.tables import cut
 
 CAPACITY = 2048
 SEGMENTS = 64
-LOSS_TOKENS = 2048
+#: Under the capacity, so that it binds; see above for pieces over it.
+LOSS_TOKENS = 1920
 GROUP_ROWS = 8192
 
 
@@ -90,14 +93,13 @@ def fill_containers(
     """
     if min(capacity, segments, loss_limit) < 1:
         raise ValueError("limits must be positive")
-    step = min(capacity, loss_limit)
     n, loss = F.col("n_tokens").cast("bigint"), F.col("n_loss").cast("bigint")
     rows = sized.where("n_tokens > 0").select("doc_id", n.alias("total"), F.least(F.greatest(F.coalesce(loss, F.lit(0)), F.lit(0)), n).alias("all_loss"))
-    # A text over a limit is cut every min(limits) tokens; others stay whole.
-    over = (F.col("total") > capacity) | (F.col("all_loss") > loss_limit)
-    starts = F.when(over, F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1, F.lit(step).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    # A text over the capacity is cut every capacity tokens; others stay whole.
+    over = F.col("total") > capacity
+    starts = F.when(over, F.sequence(F.lit(0).cast("bigint"), F.col("total") - 1, F.lit(capacity).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
     pieces = rows.select("*", F.posexplode(starts).alias("piece", "start")).withColumn(
-        "n_tokens", F.when(over, F.least(F.lit(step), F.col("total") - F.col("start"))).otherwise(F.col("total"))
+        "n_tokens", F.when(over, F.least(F.lit(capacity), F.col("total") - F.col("start"))).otherwise(F.col("total"))
     )
     first_loss: Column = F.col("total") - F.col("all_loss")
     pieces = pieces.withColumn("n_loss", F.least(F.col("n_tokens"), F.greatest(F.lit(0), F.col("start") + F.col("n_tokens") - first_loss)))
@@ -108,7 +110,7 @@ def fill_containers(
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "n_loss", "doc_id", "piece"], kind="stable", ignore_index=True)
-        bins = pack(pdf["n_tokens"].to_numpy(), pdf["n_loss"].to_numpy(), capacity, segments, loss_limit)
+        bins = pack(pdf["n_tokens"].to_numpy(), pdf["n_loss"].clip(upper=loss_limit).to_numpy(), capacity, segments, loss_limit)
         pdf.insert(0, "container", [f"{g}-{b}" for g, b in zip(pdf["grp"], bins)])
         return pdf.drop(columns="grp")
 

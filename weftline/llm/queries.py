@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.llm import bpe, distinctive, langid, packing, pages, quality
 from weftline.llm.words import LANGS
 from weftline.operators.postings import word_pages
-from weftline.sources.tables import table
+from weftline.sources.tables import cut, table
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +114,10 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Prompt = first line (with its end of line), answer = the rest.
     prompt = F.regexp_extract("text", r"^[^\n]*\n", 0)
     encoder = bpe.Encoder(spark)
-    sized = encoder.encode(docs, "text").select("doc_id", F.size("ids").alias("n_tokens"), F.octet_length("text").alias("bytes"), F.octet_length(prompt).alias("head"))
-    share = 1 - F.col("head") / F.greatest("bytes", F.lit(1))
-    return packing.fill_containers(sized.select("doc_id", "n_tokens", F.ceil(F.col("n_tokens") * share).alias("n_loss")))
+    ids = encoder.encode(docs, "text").select("doc_id", "ids", F.coalesce(F.octet_length(prompt), F.lit(0)).alias("head"))
+    n_loss = F.size("ids") - encoder.tokens_within(F.col("ids"), F.col("head"))
+    # Written, as a filter on the sizes would encode every text once more.
+    return packing.fill_containers(cut(ids.select("doc_id", F.size("ids").alias("n_tokens"), n_loss.alias("n_loss"))))
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
