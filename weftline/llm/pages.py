@@ -27,6 +27,8 @@ from weftline.sources.tables import cut
 
 #: Share of pages (by distinct url) from which a recurring short text is furniture, and the least number.
 FURNITURE_SHARE, FURNITURE_LEAST = 0.0025, 3
+#: Share of a host's pages from which a text that recurs there is furniture of that site.
+SITE_SHARE = 0.25
 #: Share of a host's votes that a path needs to win; at most 1 / share paths win.
 WIN_SHARE = 0.1
 #: Share of a host's pages from which a named area is part of the site's frame.
@@ -90,8 +92,8 @@ def _hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
 
 
-def features(page: str, host: str | None, stretches: bool = False) -> tuple[list[tuple], str | None, int, list[list[list[str]]]]:
-    """Blocks as tuples in the order of BLOCK (without s, runs), voted path, prose size, sentences (or all pieces) by block."""
+def features(page: str, host: str | None, stretches: bool = False, languages: bool = True) -> tuple[list[tuple], str | None, int, list[list[list[str]]]]:
+    """Blocks as tuples in the order of BLOCK (without s, runs), voted path, prose size, sentences (or all pieces) by block if ``languages``."""
     found = blocks(page)
     times = Counter(b.text for b in found)
     times_path = Counter(b.path for b in found)
@@ -130,10 +132,11 @@ def features(page: str, host: str | None, stretches: bool = False) -> tuple[list
         if n >= 6 and len(_SEPARATOR.findall(b.text)) >= 0.6 * n:
             flag |= SEPARATED
         key = prefix = None
+        short = site.sub("§", b.text) if site else b.text
+        if short.count(" ") >= 2:
+            # Link text has keys of its own: lists of links repeat the headings of other pages.
+            key = _hash(("\0" if linked else "") + _DIGITS.sub("0", short))
         if len(b.text) <= KEY_CHARS:
-            short = site.sub("§", b.text) if site else b.text
-            if short.count(" ") >= 2:
-                key = _hash(_DIGITS.sub("0", short))
             if m := _PREFIX.match(short):
                 prefix = _hash(m.group(1).lower())
         if n >= 8 and not flag and f >= 0.12 * n:
@@ -144,6 +147,8 @@ def features(page: str, host: str | None, stretches: bool = False) -> tuple[list
                 prose[at] += chars
                 at = at[: at.rfind(">")]
         rows.append((no, path, top, n, f, lang, flag, linked, key, prefix))
+        if not languages:
+            continue
         if stretches:
             sentences.append(_short_pieces(b.text) if len(b.text) <= SHORT_CHARS else pieces_of(b.text))
             continue
@@ -175,7 +180,7 @@ def _digest(model: LanguageModel | None, stretches: bool = False):
                 sentences: list[list[str]] = []
                 counts: list[int] = []
                 for page, host in zip(part.column(3).to_pylist(), hosts.to_pylist()):
-                    rows, best, prose, found = features(page, host, stretches)
+                    rows, best, prose, found = features(page, host, stretches, model is not None)
                     labels.append(label(page))
                     bests.append(best)
                     proses.append(prose)
@@ -235,12 +240,28 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 
 def furniture(pages: DataFrame, field: str, n_pages: int) -> list[int]:
-    """Keys of short texts that recur on FURNITURE_SHARE of all pages: at most (keys a page) / share of them."""
+    """Keys of texts that recur on FURNITURE_SHARE of all pages: at most (keys a page) / share of them."""
     least = max(FURNITURE_LEAST, FURNITURE_SHARE * n_pages)
     keys = pages.select("url", F.explode(F.array_distinct(F.transform("b", lambda x: x[field]))).alias("key")).where("key is not null")
     return [r["key"] for r in keys.distinct().groupBy("key").count().where(F.col("count") >= least).select("key").collect()]
 
 
+def site_furniture(pages: DataFrame) -> DataFrame:
+    """(host, site_keys): keys of texts on SITE_SHARE of the host's pages, at most (keys a page) / share of them.
+
+    Occurrences are counted by distinct page text and by distinct url, the lower
+    count holds: copies of a page and new fetches of it are no recurrence.
+    """
+    keyed = pages.select("host", "url", F.array_distinct(F.filter(F.transform("b", lambda x: x["key"]), lambda k: k.isNotNull())).alias("keys"))
+    keyed = keyed.withColumn("text", F.xxhash64("keys"))
+    sizes = keyed.groupBy("host").agg(F.countDistinct("url").alias("urls"))
+    rows = keyed.select("host", F.explode("keys").alias("key"), "url", "text")
+    by = [rows.select("host", "key", x).distinct().groupBy("host", "key").agg(F.count("*").alias(f"n_{x}")) for x in ("url", "text")]
+    often = by[0].where(F.col("n_url") >= FURNITURE_LEAST).join(by[1].where(F.col("n_text") >= FURNITURE_LEAST), ["host", "key"]).join(sizes, "host")
+    often = often.where(F.least("n_url", "n_text") >= SITE_SHARE * F.col("urls"))
+    return often.groupBy("host").agg(F.collect_set("key").alias("site_keys"))
+
+
 def own_blocks(pages: DataFrame) -> DataFrame:
     """``pages`` with ``own``: the blocks of each page's body, found by its host's winning paths, without furniture.
 
@@ -249,7 +270,7 @@ def own_blocks(pages: DataFrame) -> DataFrame:
     """
     n_pages = pages.count()
     keys, prefixes = furniture(pages, "key", n_pages), furniture(pages, "prefix", n_pages)
-    hosts = cut(host_paths(pages))
+    hosts = cut(host_paths(pages).join(site_furniture(pages), "host", "left"))
     if hosts.count() <= BROADCAST_HOSTS:
         joined = pages.join(F.broadcast(hosts), "host", "left")
     else:
@@ -269,7 +290,8 @@ def own_blocks(pages: DataFrame) -> DataFrame:
     )
 
     def site_text(x: Column) -> Column:
-        return F.coalesce(x["key"].isin(*keys) if keys else F.lit(False), F.lit(False)) | F.coalesce(x["prefix"].isin(*prefixes) if prefixes else F.lit(False), F.lit(False))
+        here = F.coalesce(F.array_contains(F.col("site_keys"), x["key"]), F.lit(False))
+        return here | F.coalesce(x["key"].isin(*keys) if keys else F.lit(False), F.lit(False)) | F.coalesce(x["prefix"].isin(*prefixes) if prefixes else F.lit(False), F.lit(False))
 
     body = F.when(F.col("__win").isNotNull(), F.filter("b", lambda x: under(x["path"], F.col("__win")))).otherwise(F.filter("__loose", lambda x: x["top"] == -F.col("__top")))
     return (
