@@ -23,6 +23,8 @@ BUCKETS = 1 << 15
 DIM = 16
 #: At most so many labelled documents are used for training.
 TRAIN_DOCUMENTS = 3000
+#: Of each, at most so many first sentences of so many first characters.
+TRAIN_SENTENCES, TRAIN_CHARS = 6, 4000
 #: Words kept with their scores in a worker.
 CACHE_WORDS = 200_000
 
@@ -199,15 +201,16 @@ def train(samples: list[tuple[list[str], int]], epochs: int = 3, seed: int = 7)
     return model
 
 
-def fit(documents: DataFrame, limit: int = TRAIN_DOCUMENTS) -> LanguageModel:
+def fit(documents: DataFrame, limit: int = TRAIN_DOCUMENTS, sentences: int = TRAIN_SENTENCES, chars: int = TRAIN_CHARS) -> LanguageModel:
     """A model from ``documents`` (doc_id, text, lang): the labelled rows with the lowest hashes of their id.
 
-    Labels outside LANGS, null and empty texts are left out.  Without any
+    Of each the first ``sentences`` sentences of its first ``chars`` characters
+    are used.  Labels outside LANGS, null and empty texts are left out.  Without any
     labelled text the model rejects everything.
     """
     labelled = documents.where(F.col("lang").isin(*LANGS) & (F.col("text") != ""))
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, 4000).alias("text"), "lang").limit(limit).collect()
-    samples = [(s, LANGS.index(r["lang"])) for r in rows for s in sentences_of(r["text"])[:6]]
+    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, chars).alias("text"), "lang").limit(limit).collect()
+    samples = [(s, LANGS.index(r["lang"])) for r in rows for s in sentences_of(r["text"])[:sentences]]
     if not samples:
         return LanguageModel(np.zeros((BUCKETS, len(LANGS)), np.float32), np.zeros(len(LANGS)), least=1.1)
     return train(samples)
