@@ -9,8 +9,12 @@ from weftline.functions.web import canonical_url
 from weftline.operators import hotkeys, orphans
 from weftline.operators.packed import split_packed
 from weftline.operators.postings import word_pages
+from weftline.queries.registry import Registry
 from weftline.sources.tables import table
 
+registry = Registry()
+query = registry.query
+
 #: Share of all rows of the index from which a word counts as hot.
 HOT_SHARE = 0.02
 FRACTIONS = [0.5, 0.9, 0.99]
@@ -27,17 +31,20 @@ def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return parents, links.select("row_id", canonical_url("item").alias("key")).distinct().join(when, "row_id")
 
 
+@query()
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of a fetch to a URL that is missing or gone at the end of the fetch's month."""
     parents, children = _links(spark, sf_dir)
     return orphans.orphan_references(parents, children).select(F.col("row_id").alias("fetch_id"), F.col("key").alias("target_url"))
 
 
+@query()
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and orphan links per table and month of the fetch."""
     return orphans.orphan_report(*_links(spark, sf_dir), "crawl").withColumn("period", F.date_format("period", "yyyy-MM"))
 
 
+@query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per link of crawl.outbound and per posting of pt_index.accumulated_value."""
     out = split_packed(table(spark, sf_dir, "crawl"), "fetch_id", "outbound")
@@ -46,18 +53,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(out, "outbound").unionByName(tagged(acc, "accumulated_value"))
 
 
+@query()
 def p7_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, distinct pages, occurrences and quantiles of occurrences per page of every word."""
     index = table(spark, sf_dir, "pt_index")
     return hotkeys.key_results(word_pages(index), index.where("word is not null"), "word", "url", "n", FRACTIONS)
 
 
+@query()
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with at least HOT_SHARE of the rows of pt_index."""
     results = p7_words(spark, sf_dir)
     total = table(spark, sf_dir, "pt_index").count()
     return results.where(F.col("n_rows") >= F.lit(HOT_SHARE) * F.lit(total)).select("word")
-
-
-def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_report, p6_found, p7_found, p7_words)}
