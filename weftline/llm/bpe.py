@@ -1,34 +1,37 @@
 """Byte-level BPE of a whole corpus with a public vocabulary, on the JVM.
 
-Texts are split into words by the vocabulary's pattern.  The merges of a word
-are a fold over its bytes: each step joins the adjacent pair of lowest rank
-until no pair has one.  Frequent words are counted over the whole corpus and
-folded once; the rest are folded where they stand.  Words longer than
-``LONG_BYTES`` (runs of one class of characters without a blank), for which the
-fold is quadratic, take the same merges with a heap in Arrow batches.
+Texts are split into words by the vocabulary's pattern, once.  The merges of a
+word are a fold over its bytes: each step joins the adjacent pair of lowest rank
+until no pair has one.  Every distinct word of the corpus is folded once; the
+most frequent ones are put into the plan as a literal, the rest are joined to
+where they stand.  Words of over ``LONG_BYTES`` (long runs of one class of
+characters without a blank), for which the fold is quadratic, take the same
+merges with a heap in Arrow batches.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.literals import array_literal, lookup, map_literal
-from weftline.sources.tables import cut
+from weftline.sources.tables import cut, release
 
 #: Folder of the tokenizer files, and the vocabulary.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of byte_bpe_50k; ``(?U)`` gives \\s its Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: At most so many frequent words are kept with their ids in the plan.
+#: About so many of the most frequent words are kept with their ids in the plan, whatever the corpus' size.
 HEAD_WORDS = 65_536
-LONG_BYTES = 24
+LONG_BYTES = 128
+#: Steps of the histogram of word counts for every doubling.
+COUNT_STEPS = 8
 _SLOT = 1 << 16
 
 
@@ -73,7 +76,7 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _fold(word: Column, rank) -> Column:
-    """Ids of a word (string column) by a fold over its bytes; for short words."""
+    """Ids of a word (string column) by a fold over its bytes; quadratic in its length."""
     raw = word.cast("binary")
     parts = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(raw, i, F.lit(1)))
 
@@ -119,47 +122,62 @@ class Encoder:
         whole = self._rank(word.cast("binary"))
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(_fold(word, self._rank))
 
-    def _head(self, docs: DataFrame) -> Column | None:
-        """Ids of the corpus' frequent words as a literal of at most HEAD_WORDS entries."""
-        counts = cut(docs.select(F.explode("__words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
-        # The lowest count that at most HEAD_WORDS words reach, from the histogram of counts.
-        histogram = counts.where(F.octet_length("w") <= LONG_BYTES).groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n"))
-        least, seen = None, 0
-        for n, c in histogram.toLocalIterator():
-            if (seen := seen + c) > HEAD_WORDS:
-                break
-            least = n
-        if least is None:
-            return None
+    def _vocabulary(self, words_: DataFrame) -> DataFrame:
+        """(w, n, ids) of every distinct word of the column ``w``, folded once."""
+        counts = cut(words_.groupBy("w").agg(F.count("*").alias("n")))
         short = F.octet_length("w") <= LONG_BYTES
-        head = counts.where(short & (F.col("n") >= least)).select("w", self._word(F.col("w")).cast("array<int>").alias("ids")).toArrow()
-        return map_literal(self.spark, [w.encode() for w in head["w"].to_pylist()], head["ids"].combine_chunks())
+        ranks = self.ranks
 
-    def encode(self, df: DataFrame, text: str, ids: str = "ids") -> DataFrame:
-        """``df`` with a column ``ids`` (array<int>) of the text's ids, without special tokens.
+        def merge_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = [merge_bytes(w.encode(), ranks) for w in batch.column(0).to_pylist()]
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["w", "n", "ids"])
 
-        Null, empty texts: the empty list.  Blank texts are encoded like any
-        other.  Rows, order of columns and repeated rows stay as they are.
-        """
-        docs = df.withColumn("__words", words(F.col(text)))
-        table = self._head(docs.select("__words"))
-        long = F.octet_length
-        ranks = self.ranks
+        folded = counts.where(short).select("w", "n", self._word(F.col("w")).cast("array<int>").alias("ids"))
+        out = cut(folded.unionByName(counts.where(~short).mapInArrow(merge_long, "w string, n bigint, ids array<int>")))
+        release(counts)
+        return out
 
-        @F.pandas_udf("array<array<int>>")
-        def merge_long(column: pd.Series) -> pd.Series:
-            return column.map(lambda xs: None if xs is None else [None if x is None else merge_bytes(x.encode(), ranks) for x in xs])
+    def _head(self, vocabulary: DataFrame) -> tuple[Column, bool]:
+        """(whether a word belongs to the head, whether it is all of the vocabulary).
 
-        sparse = F.when(
-            F.exists("__words", lambda w: long(w) > LONG_BYTES), F.transform("__words", lambda w: F.when(long(w) > LONG_BYTES, w))
-        )
-        docs = docs.withColumn("__long", merge_long(sparse))
+        The head are the words of the highest counts, about HEAD_WORDS: all of
+        the higher steps of the histogram, of the step where it ends a share by
+        hash.  It decides where a word's ids come from, not what they are.
+        """
+        level = F.floor(F.log2("n") * COUNT_STEPS).cast("int")
+        left, part, last = HEAD_WORDS, 0, None
+        for step, n in sorted(((r["s"], r["c"]) for r in vocabulary.groupBy(level.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True):
+            if n > left:
+                part, last = left * _SLOT // n, step
+                break
+            left -= n
+        if last is None:
+            return F.lit(True), True
+        return (level > last) | ((level == last) & (F.pmod(F.xxhash64("w"), F.lit(_SLOT)) < part)), False
 
-        def of(w: Column, i: Column) -> Column:
-            known = [lookup(table, w.cast("binary"))] if table is not None else []
-            return F.coalesce(*known, F.get("__long", i), self._word(w).cast("array<int>"))
+    def encode(self, df: DataFrame, text: str, ids: str = "ids") -> DataFrame:
+        """``df`` with a column ``ids`` (array<int>) of the text's ids, without special tokens.
 
-        return docs.withColumn(ids, F.flatten(F.transform("__words", of))).drop("__words", "__long")
+        Null, empty texts: the empty list.  Blank texts are encoded like any
+        other.  Columns and repeated rows stay as they are.
+        """
+        docs = cut(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", words(F.col(text))))
+        vocabulary = self._vocabulary(docs.select(F.explode("__words").alias("w")))
+        in_head, all_ = self._head(vocabulary)
+        head = vocabulary.where(in_head).select("w", "ids").toArrow()
+        table = map_literal(self.spark, [w.encode() for w in head["w"].to_pylist()], head["ids"].combine_chunks())
+        known = lambda w: lookup(table, w.cast("binary"))
+        if all_:
+            return docs.withColumn(ids, F.flatten(F.transform("__words", known))).drop("__words", "__row")
+        # Occurrences of other words: none of them has more than the count where the head ends.
+        rest = docs.select("__row", F.posexplode("__words").alias("pos", "w")).where(known(F.col("w")).isNull())
+        placed = rest.join(vocabulary.where(~in_head).select("w", "ids"), "w").groupBy("__row").agg(F.collect_list(F.struct("pos", "ids")).alias("__rest"))
+        placed = placed.withColumnRenamed("__row", "__of")
+        pieces = F.filter(F.transform("__words", lambda w, i: F.struct(i.alias("pos"), known(w).alias("ids"))), lambda x: x["ids"].isNotNull())
+        merged = F.when(F.col("__rest").isNull(), pieces).otherwise(F.array_sort(F.concat(pieces, F.col("__rest"))))
+        joined = docs.join(placed, F.col("__row") == F.col("__of"), "left")
+        return joined.withColumn(ids, F.flatten(F.transform(merged, lambda x: x["ids"]))).drop("__words", "__row", "__of", "__rest")
 
     def tokens_within(self, ids: Column, n_bytes: Column) -> Column:
         """Number of leading ids whose bytes all lie in the first ``n_bytes`` of the text."""
