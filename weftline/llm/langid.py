@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,10 @@ from weftline.llm.words import LANGS, WORD
 
 BUCKETS = 1 << 15
 DIM = 16
-#: At most so many labelled documents are used for training.
+#: About so many labelled documents are used for training, all if there are no more.
 TRAIN_DOCUMENTS = 3000
-#: Of each, at most so many first sentences of so many first characters.
-TRAIN_SENTENCES, TRAIN_CHARS = 6, 4000
+#: Of each, at most so many sentences.
+TRAIN_SENTENCES = 6
 #: Words kept with their scores in a worker.
 CACHE_WORDS = 200_000
 
@@ -201,16 +203,36 @@ def train(samples: list[tuple[list[str], int]], epochs: int = 3, seed: int = 7)
     return model
 
 
-def fit(documents: DataFrame, limit: int = TRAIN_DOCUMENTS, sentences: int = TRAIN_SENTENCES, chars: int = TRAIN_CHARS) -> LanguageModel:
-    """A model from ``documents`` (doc_id, text, lang): the labelled rows with the lowest hashes of their id.
+def _pick(sentences: int):
+    """Arrow function that gives the ``sentences`` sentences of lowest hash of each text, with its label."""
 
-    Of each the first ``sentences`` sentences of its first ``chars`` characters
-    are used.  Labels outside LANGS, null and empty texts are left out.  Without any
-    labelled text the model rejects everything.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            picked, labels = [], []
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = sorted({" ".join(s) for s in sentences_of(text)}, key=lambda s: (zlib.crc32(s.encode()), s))[:sentences]
+                picked += found
+                labels += [lang] * len(found)
+            yield pa.record_batch([pa.array(picked, pa.string()), pa.array(labels, pa.string())], names=["sentence", "lang"])
+
+    return run
+
+
+def fit(documents: DataFrame, limit: int = TRAIN_DOCUMENTS, sentences: int = TRAIN_SENTENCES) -> LanguageModel:
+    """A model from a bounded sample of ``documents`` (doc_id, text, lang).
+
+    About ``limit`` labelled documents are drawn by the hash of their id, so
+    only they leave the scan, and ``sentences`` sentences of each, by hash from
+    its whole text.  Labels outside LANGS, null and empty texts are left out.
+    Without any labelled text the model rejects everything.
     """
     labelled = documents.where(F.col("lang").isin(*LANGS) & (F.col("text") != ""))
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select(F.substring("text", 1, chars).alias("text"), "lang").limit(limit).collect()
-    samples = [(s, LANGS.index(r["lang"])) for r in rows for s in sentences_of(r["text"])[:sentences]]
+    n = labelled.select("lang").count()
+    if n > limit:
+        share = 1 << 30
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < limit * share // n)
+    rows = labelled.select("text", "lang").mapInArrow(_pick(sentences), "sentence string, lang string").collect()
+    samples = sorted((r["sentence"].split(" "), LANGS.index(r["lang"])) for r in rows)
     if not samples:
         return LanguageModel(np.zeros((BUCKETS, len(LANGS)), np.float32), np.zeros(len(LANGS)), least=1.1)
     return train(samples)
