@@ -9,6 +9,7 @@ The winning paths are then joined back to the digest of every page.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ from weftline.llm.blocks import blocks
 from weftline.llm.langid import LanguageModel, pieces_of, runs, sentences_of
 from weftline.llm.words import LANGS, WORD, function_words
 from weftline.operators.skew import salted_join
-from weftline.sources.tables import cut
+from weftline.sources.tables import cut, release
 
 #: Share of pages (by distinct url) from which a recurring short text is furniture, and the least number.
 FURNITURE_SHARE, FURNITURE_LEAST = 0.0025, 3
@@ -33,24 +34,36 @@ SITE_SHARE = 0.25
 WIN_SHARE = 0.1
 #: Share of a host's pages from which a named area is part of the site's frame.
 FRAME_SHARE = 0.3
-#: Up to so many hosts their paths are broadcast; beyond, they are joined with salts.
-BROADCAST_HOSTS = 100_000
+#: Up to so many bytes the hosts' paths and keys are broadcast; beyond, they are joined with salts.
+BROADCAST_BYTES = 32 << 20
 #: A container holds a page's prose if it has this share of it.
 PROSE_SHARE = 0.8
-KEY_CHARS = 200
 #: Pieces of texts up to this length are kept, as most recur within a site.
 SHORT_CHARS = 80
 
-_FIELDS = "no:int,path:string,top:int,n:int,f:int,l:int,flag:int,linked:boolean,key:bigint,prefix:bigint,s:array<int>"
+#: Of a block: words, function words and their language, letters of no known language; per cent of link text, count of
+#: its top word, top pair of words and separators, times its text stands in the page; hashes of a short line's words.
+_FIELDS = "no:int,path:string,top:int,n:int,f:int,l:int,o:int,lk:int,tw:int,bg:int,sp:int,rp:int,key:bigint,prefix:bigint,w:array<int>,s:array<int>"
 #: ``runs``: words, language (-1 for none) and mean probabilities of each run of pieces of one language.
 BLOCK = f"struct<{_FIELDS},runs:array<struct<n:int,lang:int,p:array<float>>>>"
 SCHEMA = f"fetch_id bigint, host string, url string, label string, best string, prose bigint, b array<{BLOCK}>"
 
-#: Bits of a block's flag: why its words count as no sentences whatever its function words.
-LINKED, TOP_WORD, BIGRAM, REPEATED, SEPARATED = 1, 2, 4, 8, 16
+#: Words of a block from which its top word, its top pair and its separators are judged, and lines that count as repeated.
+TOP_LEAST, PAIR_LEAST, SEPARATOR_LEAST, REPEATS = 12, 20, 6, 3
+#: Thresholds of a language with too few blocks, also those of the votes: share of function words, top word, top pair, separators, link text.
+DEFAULTS = (0.14, 0.2, 0.15, 0.6, 0.85)
+#: How a language's thresholds come from the shares in its sentences: quantile, factor and bounds of each.
+CALIBRATION = ((0.5, 0.4, 0.05, 0.3), (0.9, 2.5, 0.12, 0.3), (0.9, 2.5, 0.1, 0.25), (0.95, 4.0, 0.4, 0.6), (0.95, 4.0, 0.6, 0.85))
+#: Blocks of a language from which its own thresholds hold.
+CALIBRATION_LEAST = 50
+#: Share of letters outside LETTERS from which a text is in none of the known languages.
+OTHER_SHARE = 0.02
+LETTERS = "a-zàâäáæçéèêëíìîïñóòôöœúùûüßÿªº"
 
 _DIGITS = re.compile(r"\d+")
 _ORDINAL = re.compile(r"([-_])\d+(?=\.|>|$)")
+_OTHER = re.compile(rf"[^\W\d_{LETTERS}]", re.I)
+_ENDED = re.compile(r"[.!?…。！？][\"'»”’)\]」]*$")
 _SEPARATOR = re.compile(r"[|/#;,•·»]|\s[-–]\s")
 _PREFIX = re.compile(r"(\S+(?: \S+){1,3}?) ?:(?!//)\s")
 _LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -92,6 +105,29 @@ def _hash(text: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
 
 
+def _counts(text: str) -> tuple[int, int, int, int, int, int, int, int, list[int] | None]:
+    """Of a block's text: n, f, l, o, tw, bg, sp as in _FIELDS, visible characters, and w."""
+    lower = text.lower()
+    words = WORD.findall(lower)
+    n = len(words)
+    f, lang = function_words(words)
+    other = 0 if text.isascii() else len(_OTHER.findall(lower))
+    top = pair = 0
+    line = None
+    if n >= TOP_LEAST:
+        content = Counter(w for w in words if len(w) > 3)
+        top = max(content.values()) if content else 0
+        if n >= PAIR_LEAST:
+            pair = max(Counter(zip(words, words[1:])).values())
+    elif n:
+        line = [zlib.crc32(w.encode()) - (1 << 31) for w in words if len(w) > 3]
+    separators = len(_SEPARATOR.findall(text)) if n >= SEPARATOR_LEAST else 0
+    return n, f, lang, other, top, pair, separators, len(text.replace(" ", "")), line
+
+
+_short_counts = lru_cache(1 << 15)(_counts)
+
+
 def features(page: str, host: str | None, stretches: bool = False, languages: bool = True) -> tuple[list[tuple], str | None, int, list[list[list[str]]]]:
     """Blocks as tuples in the order of BLOCK (without s, runs), voted path, prose size, sentences (or all pieces) by block if ``languages``."""
     found = blocks(page)
@@ -102,10 +138,11 @@ def features(page: str, host: str | None, stretches: bool = False, languages: bo
     rows, sentences = [], []
     prose: dict[str, int] = defaultdict(int)
     paths: dict[str, str] = {}
-    tops: dict[str, int] = {}
     total = top = 0
     last_area = None
+    least_f, top_share, pair_share, separator_share, link_share = DEFAULTS
     for no, b in enumerate(found):
+        text = b.text
         path = paths.get(b.path)
         if path is None:
             path = paths[b.path] = _body_path(b.path)
@@ -115,44 +152,32 @@ def features(page: str, host: str | None, stretches: bool = False, languages: bo
             top += 1
             last_area = area
         b_node = b.node
-        words = WORD.findall(b.text.lower())
-        n = len(words)
-        f, lang = function_words(words)
-        chars = len(b.text.replace(" ", ""))
-        linked = b.linked >= 0.85 * chars and b.links > 0
-        flag = LINKED if linked else 0
-        if n >= 12:
-            content = Counter(w for w in words if len(w) > 3)
-            if content and max(content.values()) >= 0.2 * n and max(content.values()) > 2:
-                flag |= TOP_WORD
-            if max(Counter(zip(words, words[1:])).values()) >= 0.15 * n and n >= 20:
-                flag |= BIGRAM
-        if n and times[b.text] >= 3:
-            flag |= REPEATED
-        if n >= 6 and len(_SEPARATOR.findall(b.text)) >= 0.6 * n:
-            flag |= SEPARATED
+        n, f, lang, other, tw, bg, sp, chars, line = (_short_counts if len(text) <= SHORT_CHARS else _counts)(text)
+        share = 100 * b.linked // max(1, chars) if b.links else 0
+        linked = share >= 100 * link_share
+        separated = n >= SEPARATOR_LEAST and sp >= separator_share * n
         key = prefix = None
-        short = site.sub("§", b.text) if site else b.text
+        short = site.sub("§", text) if site else text
         if short.count(" ") >= 2:
             # Link text has keys of its own: lists of links repeat the headings of other pages.
             key = _hash(("\0" if linked else "") + _DIGITS.sub("0", short))
-        if len(b.text) <= KEY_CHARS:
-            if m := _PREFIX.match(short):
-                prefix = _hash(m.group(1).lower())
-        if n >= 8 and not flag and f >= 0.12 * n:
+        if m := _PREFIX.match(short):
+            prefix = _hash(m.group(1).lower())
+        natural = n >= 8 and f >= 0.12 * n or other >= OTHER_SHARE * chars and chars >= 40 and _ENDED.search(text) is not None
+        if natural and not (linked or separated or times[text] >= REPEATS or tw > 2 and tw >= top_share * n or n >= PAIR_LEAST and bg >= pair_share * n):
             total += chars
             # An element that holds one block, or of which there are several, is a paragraph and no container.
             at = path if direct[b.path] == 1 and times_path[b.path] > 1 else path[: path.rfind(">")]
             while at:
                 prose[at] += chars
                 at = at[: at.rfind(">")]
-        rows.append((no, path, top, n, f, lang, flag, linked, key, prefix))
+        rows.append((no, path, top, n, f, lang, other, share, tw, bg, sp, times[text], key, prefix, line))
         if not languages:
             continue
         if stretches:
-            sentences.append(_short_pieces(b.text) if len(b.text) <= SHORT_CHARS else pieces_of(b.text))
+            sentences.append(_short_pieces(text) if len(text) <= SHORT_CHARS else pieces_of(text))
             continue
-        sentences.append([] if flag & (LINKED | SEPARATED) or n < 3 else sentences_of(b.text))
+        sentences.append([] if linked or separated or n < 3 else sentences_of(text))
     best = max((p for p, c in prose.items() if c >= PROSE_SHARE * total), key=lambda p: (p.count(">"), prose[p]), default=None)
     return rows, best, total, sentences
 
@@ -171,7 +196,7 @@ def _run_lists(model: LanguageModel, pieces: list[list[str]], counts: list[int])
 def _digest(model: LanguageModel | None, stretches: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(":")[0] for x in _FIELDS.split(",")] + ["runs"]
-        types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+        types = [pa.int32(), pa.string(), *[pa.int32()] * 10, pa.int64(), pa.int64(), pa.list_(pa.int32())]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -226,15 +251,18 @@ def host_paths(pages: DataFrame) -> DataFrame:
     Votes are weighted by the prose they hold and summed before the shuffle;
     only paths with WIN_SHARE of a host's votes are gathered, at most ten.
     """
-    votes = pages.where("prose > 0").groupBy("host", "best").agg(F.sum("prose").alias("votes"))
-    totals = votes.groupBy("host").agg(F.sum("votes").alias("all_votes"))
-    won = votes.join(totals, "host").where(F.col("votes") >= WIN_SHARE * F.col("all_votes"))
+    votes = cut(pages.where("prose > 0").groupBy("host", "best").agg(F.sum("prose").alias("votes")))
+    totals = votes.groupBy("host").agg(F.sum("votes").alias("all_votes"), F.count("*").alias("__n"))
+    won = salted_join(votes, totals, ["host"], "__n", votes.count(), F.col("best")).where(F.col("votes") >= WIN_SHARE * F.col("all_votes"))
     # Negated votes sort the most voted first, equal votes by path.
     winners = won.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "best"))), lambda x: x["best"]).alias("winners"))
     areas = F.array_distinct(F.transform("b", lambda x: F.get(F.split(x["path"], ">"), F.lit(1))))
     sizes = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
     named = pages.select("host", F.explode(F.filter(areas, lambda a: a.contains(".") | a.isin("nav", "footer", "header", "aside"))).alias("area"))
-    often = named.groupBy("host", "area").agg(F.count("*").alias("c")).join(sizes, "host").where((F.col("c") >= FRAME_SHARE * F.col("n_pages")) & ((F.col("n_pages") > 2) | ~F.col("area").contains(".")))
+    areas_ = cut(named.groupBy("host", "area").agg(F.count("*").alias("c")))
+    per_host = areas_.groupBy("host").agg(F.count("*").alias("__n")).join(sizes, "host")
+    # On hosts of one or two pages any class recurs, so only the elements that name themselves count there.
+    often = salted_join(areas_, per_host, ["host"], "__n", areas_.count(), F.col("area")).where((F.col("c") >= FRAME_SHARE * F.col("n_pages")) & ((F.col("n_pages") > 2) | ~F.col("area").contains(".")))
     frame = often.groupBy("host").agg(F.collect_set("area").alias("frame"))
     return sizes.join(winners, "host", "left").join(frame, "host", "left")
 
@@ -271,7 +299,9 @@ def own_blocks(pages: DataFrame) -> DataFrame:
     n_pages = pages.count()
     keys, prefixes = furniture(pages, "key", n_pages), furniture(pages, "prefix", n_pages)
     hosts = cut(host_paths(pages).join(site_furniture(pages), "host", "left"))
-    if hosts.count() <= BROADCAST_HOSTS:
+    texts = F.coalesce(F.length(F.array_join(F.concat(F.coalesce("winners", F.array().cast("array<string>")), F.coalesce("frame", F.array().cast("array<string>"))), " ")), F.lit(0))
+    n_bytes = hosts.agg(F.sum(F.length("host") + 4 * texts + 8 * F.coalesce(F.size("site_keys"), F.lit(0)) + 64)).first()[0] or 0
+    if n_bytes <= BROADCAST_BYTES:
         joined = pages.join(F.broadcast(hosts), "host", "left")
     else:
         joined = salted_join(pages, hosts, ["host"], "n_pages", n_pages, F.col("fetch_id"), "left")
@@ -304,22 +334,66 @@ def own_blocks(pages: DataFrame) -> DataFrame:
     )
 
 
-def calibrate(own: DataFrame, part: float = 0.4) -> list[float]:
-    """Per language, the share of function words under which a block is no sentence: ``part`` of the median of longer unflagged blocks."""
-    blocks_ = own.select(F.explode(F.filter("own", lambda x: (x["n"] >= 8) & (x["flag"] == 0) & (x["f"] >= 0.1 * x["n"]))).alias("x"))
-    medians = {r["l"]: r["m"] for r in blocks_.groupBy(F.col("x.l").alias("l")).agg(F.percentile_approx(F.col("x.f") / F.col("x.n"), 0.5, 1000).alias("m")).collect()}
-    return [part * medians.get(i, 0.35) for i in range(len(LANGS))]
+def calibrate(own: DataFrame) -> list[tuple[float, ...]]:
+    """Per language, then for no language, the thresholds in the order of DEFAULTS.
 
+    Each comes from a quantile of the share in the language's blocks of
+    sentences (8 words or more, a tenth of them function words), as CALIBRATION
+    says; five rows of quantiles come to the driver.
+    """
+    blocks_ = own.select(F.explode(F.filter("own", lambda x: (x["n"] >= 8) & (x["f"] >= 0.1 * x["n"]))).alias("x")).select("x.*")
+    judged = [F.col("f"), F.when(F.col("n") >= TOP_LEAST, F.col("tw")), F.when(F.col("n") >= PAIR_LEAST, F.col("bg")), F.col("sp"), F.col("lk") * F.col("n") / 100]
+    quantiles = [F.percentile_approx(c / F.col("n"), q, 1000).alias(f"q{i}") for i, (c, (q, *_)) in enumerate(zip(judged, CALIBRATION))]
+    found = {r["l"]: r for r in blocks_.groupBy("l").agg(F.count("*").alias("n"), *quantiles).collect()}
+    out = []
+    for i in range(len(LANGS)):
+        r = found.get(i)
+        if r is None or r["n"] < CALIBRATION_LEAST:
+            out.append(DEFAULTS)
+            continue
+        values = [r[f"q{k}"] for k in range(len(DEFAULTS))]
+        out.append(tuple(d if v is None else min(high, max(low, factor * v)) for d, v, (_, factor, low, high) in zip(DEFAULTS, values, CALIBRATION)))
+    return [*out, DEFAULTS]
 
-def stuffed_share(own: Column, thresholds: list[float]) -> Column:
-    """Share of the words of a body that stand in blocks of keywords, bare links or tags; 0 for an empty body."""
-    least = F.array(*[F.lit(float(x)) for x in thresholds])
 
-    def bad(x: Column) -> Column:
-        return (x["flag"] > 0) | (x["l"] < 0) | (x["f"] < F.coalesce(F.get(least, F.greatest(x["l"], F.lit(0))), F.lit(1.0)) * x["n"])
+def stuffed_share(own: Column, thresholds: list[tuple[float, ...]]) -> Column:
+    """Share of the words of a body that stand in blocks of keywords, bare links or tags; 0 for an empty body.
+
+    A text in none of the known languages is not judged by its function words.
+    Lines under TOP_LEAST words are also judged together, by their top word.
+    """
+    total = lambda xs, c: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x[c])
+    words = total(own, "n")
+    other = total(own, "o") >= OTHER_SHARE * 4 * words
 
-    words = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    stuffed = F.aggregate(F.filter(own, bad), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    def least(i: int, x: Column) -> Column:
+        return F.get(F.array(*[F.lit(float(t[i])) for t in thresholds]), F.when(x["l"] < 0, len(LANGS)).otherwise(x["l"]))
+
+    def bad(x: Column) -> Column:
+        n = x["n"]
+        return (
+            (~other & ((x["l"] < 0) | (x["f"] < least(0, x) * n)))
+            | ((n >= TOP_LEAST) & (x["tw"] > 2) & (x["tw"] >= least(1, x) * n))
+            | ((n >= PAIR_LEAST) & (x["bg"] >= least(2, x) * n))
+            | ((n >= SEPARATOR_LEAST) & (x["sp"] >= least(3, x) * n))
+            | (x["lk"] >= least(4, x) * 100)
+            | (x["rp"] >= REPEATS)
+        )
+
+    lines = F.filter(own, lambda x: (x["n"] < TOP_LEAST) & ~bad(x))
+    n_lines = total(lines, "n")
+    # The longest run of equal hashes in order.
+    hashes = F.array_sort(F.flatten(F.transform(lines, lambda x: F.coalesce(x["w"], F.array().cast("array<int>")))))
+    start = F.struct(F.lit(0).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(acc: Column, h: Column) -> Column:
+        run = F.when(acc["last"] == h, acc["run"] + 1).otherwise(1)
+        return F.struct(h.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+    most = F.aggregate(hashes, start, step, lambda acc: acc["most"])
+    # The strictest of the languages: short lines have none of their own.
+    together = F.when((n_lines >= PAIR_LEAST) & (most > REPEATS) & (most >= max(t[1] for t in thresholds) * n_lines), n_lines).otherwise(F.lit(0))
+    stuffed = total(F.filter(own, bad), "n") + together
     return F.when(words > 0, stuffed / words).otherwise(F.lit(0.0))
 
 
@@ -330,6 +404,7 @@ def bodies(crawl: DataFrame, model: LanguageModel | None = None, stretches: bool
     a page without text has an empty body; repeated rows stay.  With a model
     blocks have counts of sentences, or with ``stretches`` runs in their place.
     """
-    own = own_blocks(digest(crawl, model, stretches))
-    own = cut(own)
+    parsed = digest(crawl, model, stretches)
+    own = cut(own_blocks(parsed))
+    release(parsed)
     return own.withColumn("stuffed", stuffed_share(F.col("own"), calibrate(own)))
