@@ -1,20 +1,20 @@
 """Byte-level BPE of a whole corpus with a public vocabulary, on the JVM.
 
-Texts are split into words by the vocabulary's pattern, once.  The merges of a
-word are a fold over its bytes: each step joins the adjacent pair of lowest rank
-until no pair has one.  Every distinct word of the corpus is folded once; the
-most frequent ones are put into the plan as a literal, the rest are joined to
-where they stand.  Words of over ``LONG_BYTES`` (long runs of one class of
-characters without a blank), for which the fold is quadratic, take the same
-merges with a heap in Arrow batches.
+Texts are split into words by the vocabulary's pattern.  The merges of a word
+are a fold over its bytes: each step joins the adjacent pair of lowest rank
+until no pair has one.  The words that stand for most of the corpus are counted
+over all of it and folded once; the rest are folded where they stand, as joining
+their ids back would shuffle the corpus.  Words of over ``LONG_BYTES`` (long runs
+of one class of characters without a blank), for which the fold is quadratic,
+take the same merges with a heap in Arrow batches.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,31 +76,41 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _fold(word: Column, rank) -> Column:
-    """Ids of a word (string column) by a fold over its bytes; quadratic in its length."""
+    """Ids of a word (string column) by a fold over its bytes.
+
+    The state has the parts, the rank of every adjacent pair and the place of
+    the lowest; a merge looks up the two pairs that it changes.
+    """
     raw = word.cast("binary")
     parts = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(raw, i, F.lit(1)))
-
-    def lowest(p: Column) -> Column:
-        pairs = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(F.concat(x, F.get(p, i + 1))) * F.lit(_SLOT) + i)
-        return F.array_min(pairs)
-
-    def state(p: Column) -> Column:
-        return F.struct(p.alias("p"), lowest(p).alias("m"))
+    none = F.array().cast("array<bigint>")
 
     def bind(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(acc: Column, _: Column) -> Column:
-        p = acc["p"]
+    def state(p: Column, ranks: Column) -> Column:
+        lowest = lambda r: F.array_min(F.transform(r, lambda x, i: x * F.lit(_SLOT) + i))
+        return bind(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), lowest(r).alias("m")))
 
-        def joined(i: Column) -> Column:
-            return F.concat(F.slice(p, F.lit(1), i), F.array(F.concat(F.get(p, i), F.get(p, i + 1))), F.slice(p, i + 3, F.size(p)))
+    def first(p: Column) -> Column:
+        return state(p, F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(F.concat(x, F.get(p, i + 1)))))
 
-        return F.when(acc["m"].isNull(), acc).otherwise(bind(F.pmod(acc["m"], F.lit(_SLOT)).cast("int"), lambda i: bind(joined(i), state)))
+    def merged(p: Column, r: Column, i: Column, new: Column) -> Column:
+        left = F.when(i > 0, F.array(rank(F.concat(F.get(p, i - 1), new)))).otherwise(none)
+        right = F.when(i + 2 < F.size(p), F.array(rank(F.concat(new, F.get(p, i + 2))))).otherwise(none)
+        return state(
+            F.concat(F.slice(p, F.lit(1), i), F.array(new), F.slice(p, i + 3, F.size(p))),
+            F.concat(F.slice(r, F.lit(1), F.greatest(i - 1, F.lit(0))), left, right, F.slice(r, i + 3, F.size(p))),
+        )
+
+    def step(acc: Column, _: Column) -> Column:
+        p, r = acc["p"], acc["r"]
+        at = F.pmod(acc["m"], F.lit(_SLOT)).cast("int")
+        go = bind(at, lambda i: bind(F.concat(F.get(p, i), F.get(p, i + 1)), lambda new: merged(p, r, i, new)))
+        return F.when(acc["m"].isNull(), acc).otherwise(go)
 
     steps = F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2)))
-    merged = F.aggregate(steps, bind(parts, state), step, lambda acc: acc["p"])
-    return F.transform(merged, rank)
+    return F.transform(F.aggregate(steps, bind(parts, first), step, lambda acc: acc["p"]), rank)
 
 
 def words(text: Column) -> Column:
@@ -122,62 +132,48 @@ class Encoder:
         whole = self._rank(word.cast("binary"))
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(_fold(word, self._rank))
 
-    def _vocabulary(self, words_: DataFrame) -> DataFrame:
-        """(w, n, ids) of every distinct word of the column ``w``, folded once."""
-        counts = cut(words_.groupBy("w").agg(F.count("*").alias("n")))
-        short = F.octet_length("w") <= LONG_BYTES
-        ranks = self.ranks
-
-        def merge_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = [merge_bytes(w.encode(), ranks) for w in batch.column(0).to_pylist()]
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["w", "n", "ids"])
+    def _head(self, words_: DataFrame) -> Column:
+        """Ids of the most frequent words of the column ``w`` as a literal, folded once.
 
-        folded = counts.where(short).select("w", "n", self._word(F.col("w")).cast("array<int>").alias("ids"))
-        out = cut(folded.unionByName(counts.where(~short).mapInArrow(merge_long, "w string, n bigint, ids array<int>")))
-        release(counts)
-        return out
-
-    def _head(self, vocabulary: DataFrame) -> tuple[Column, bool]:
-        """(whether a word belongs to the head, whether it is all of the vocabulary).
-
-        The head are the words of the highest counts, about HEAD_WORDS: all of
-        the higher steps of the histogram, of the step where it ends a share by
-        hash.  It decides where a word's ids come from, not what they are.
+        About HEAD_WORDS of them: all of the higher steps of the histogram of
+        counts, of the step where they end a share by hash.  The choice decides
+        where a word is folded, not what its ids are.
         """
+        counts = cut(words_.groupBy("w").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("w") <= LONG_BYTES)))
         level = F.floor(F.log2("n") * COUNT_STEPS).cast("int")
-        left, part, last = HEAD_WORDS, 0, None
-        for step, n in sorted(((r["s"], r["c"]) for r in vocabulary.groupBy(level.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True):
+        left, last, part = HEAD_WORDS, -1, 0
+        for step, n in sorted(((r["s"], r["c"]) for r in counts.groupBy(level.alias("s")).agg(F.count("*").alias("c")).collect()), reverse=True):
             if n > left:
-                part, last = left * _SLOT // n, step
+                last, part = step, left * _SLOT // n
                 break
             left -= n
-        if last is None:
-            return F.lit(True), True
-        return (level > last) | ((level == last) & (F.pmod(F.xxhash64("w"), F.lit(_SLOT)) < part)), False
+        chosen = (level > last) | ((level == last) & (F.pmod(F.xxhash64("w"), F.lit(_SLOT)) < part))
+        head = counts.where(chosen).select("w", self._word(F.col("w")).cast("array<int>").alias("ids")).toArrow()
+        release(counts)
+        return map_literal(self.spark, [w.encode() for w in head["w"].to_pylist()], head["ids"].combine_chunks())
 
     def encode(self, df: DataFrame, text: str, ids: str = "ids") -> DataFrame:
         """``df`` with a column ``ids`` (array<int>) of the text's ids, without special tokens.
 
         Null, empty texts: the empty list.  Blank texts are encoded like any
-        other.  Columns and repeated rows stay as they are.
+        other.  Rows, order of columns and repeated rows stay as they are.
         """
-        docs = cut(df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", words(F.col(text))))
-        vocabulary = self._vocabulary(docs.select(F.explode("__words").alias("w")))
-        in_head, all_ = self._head(vocabulary)
-        head = vocabulary.where(in_head).select("w", "ids").toArrow()
-        table = map_literal(self.spark, [w.encode() for w in head["w"].to_pylist()], head["ids"].combine_chunks())
-        known = lambda w: lookup(table, w.cast("binary"))
-        if all_:
-            return docs.withColumn(ids, F.flatten(F.transform("__words", known))).drop("__words", "__row")
-        # Occurrences of other words: none of them has more than the count where the head ends.
-        rest = docs.select("__row", F.posexplode("__words").alias("pos", "w")).where(known(F.col("w")).isNull())
-        placed = rest.join(vocabulary.where(~in_head).select("w", "ids"), "w").groupBy("__row").agg(F.collect_list(F.struct("pos", "ids")).alias("__rest"))
-        placed = placed.withColumnRenamed("__row", "__of")
-        pieces = F.filter(F.transform("__words", lambda w, i: F.struct(i.alias("pos"), known(w).alias("ids"))), lambda x: x["ids"].isNotNull())
-        merged = F.when(F.col("__rest").isNull(), pieces).otherwise(F.array_sort(F.concat(pieces, F.col("__rest"))))
-        joined = docs.join(placed, F.col("__row") == F.col("__of"), "left")
-        return joined.withColumn(ids, F.flatten(F.transform(merged, lambda x: x["ids"]))).drop("__words", "__row", "__of", "__rest")
+        docs = df.withColumn("__words", words(F.col(text)))
+        table = self._head(docs.select(F.explode("__words").alias("w")))
+        ranks = self.ranks
+        long = lambda w: F.octet_length(w) > LONG_BYTES
+
+        @F.pandas_udf("array<array<int>>")
+        def merge_long(column: pd.Series) -> pd.Series:
+            return column.map(lambda xs: None if xs is None else [None if x is None else merge_bytes(x.encode(), ranks) for x in xs])
+
+        sparse = F.when(F.exists("__words", long), F.transform("__words", lambda w: F.when(long(w), w)))
+        docs = docs.withColumn("__long", merge_long(sparse))
+
+        def of(w: Column, i: Column) -> Column:
+            return F.coalesce(lookup(table, w.cast("binary")), F.get("__long", i), self._word(w).cast("array<int>"))
+
+        return docs.withColumn(ids, F.flatten(F.transform("__words", of))).drop("__words", "__long")
 
     def tokens_within(self, ids: Column, n_bytes: Column) -> Column:
         """Number of leading ids whose bytes all lie in the first ``n_bytes`` of the text."""
