@@ -31,7 +31,7 @@ TRAIN_SENTENCES = 6
 CACHE_WORDS = 200_000
 
 _CODE = re.compile(r"\w*\d\w*")
-SENTENCE = re.compile(r"[^.!?…]+[.!?…]+")
+#: Stretches up to and with their end marks; linear also in a text without any.
 _PIECE = re.compile(r"[^.!?…]+[.!?…]*")
 
 
@@ -96,7 +96,7 @@ def sentences_of(text: str) -> list[list[str]]:
 
     Codes (tokens with digits) are no words, and three words must have two letters or more.
     """
-    return [w for m in SENTENCE.finditer(text) if _enough(w := _words(m.group()))]
+    return [w for m in _PIECE.finditer(text) if m.group()[-1] in ".!?…" and _enough(w := _words(m.group()))]
 
 
 def pieces_of(text: str) -> list[list[str]]:

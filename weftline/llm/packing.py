@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from weftline.sources.tables import cut
 
 CAPACITY = 2048
-SEGMENTS = 64
+#: So few that a container of short texts reaches it.
+SEGMENTS = 32
 #: Under the capacity, so that it binds; see above for pieces over it.
 LOSS_TOKENS = 1920
 GROUP_ROWS = 8192

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.blocks import blocks
 from weftline.llm.langid import LanguageModel, pieces_of, runs, sentences_of
-from weftline.llm.words import LANGS, WORD, function_words
+from weftline.llm.words import LANGS, OTHER_SHARE, WORD, function_words, other_letters
 from weftline.operators.skew import salted_join
 from weftline.sources.tables import cut, release
 
@@ -56,13 +56,8 @@ DEFAULTS = (0.14, 0.2, 0.15, 0.6, 0.85)
 CALIBRATION = ((0.5, 0.4, 0.05, 0.3), (0.9, 2.5, 0.12, 0.3), (0.9, 2.5, 0.1, 0.25), (0.95, 4.0, 0.4, 0.6), (0.95, 4.0, 0.6, 0.85))
 #: Blocks of a language from which its own thresholds hold.
 CALIBRATION_LEAST = 50
-#: Share of letters outside LETTERS from which a text is in none of the known languages.
-OTHER_SHARE = 0.02
-LETTERS = "a-zàâäáæçéèêëíìîïñóòôöœúùûüßÿªº"
-
 _DIGITS = re.compile(r"\d+")
 _ORDINAL = re.compile(r"([-_])\d+(?=\.|>|$)")
-_OTHER = re.compile(rf"[^\W\d_{LETTERS}]", re.I)
 _ENDED = re.compile(r"[.!?…。！？][\"'»”’)\]」]*$")
 _SEPARATOR = re.compile(r"[|/#;,•·»]|\s[-–]\s")
 _PREFIX = re.compile(r"(\S+(?: \S+){1,3}?) ?:(?!//)\s")
@@ -111,7 +106,7 @@ def _counts(text: str) -> tuple[int, int, int, int, int, int, int, int, list[int
     words = WORD.findall(lower)
     n = len(words)
     f, lang = function_words(words)
-    other = 0 if text.isascii() else len(_OTHER.findall(lower))
+    other = other_letters(lower)
     top = pair = 0
     line = None
     if n >= TOP_LEAST:

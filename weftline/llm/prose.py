@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import re
 
-from weftline.llm.words import WORD, function_words
+from weftline.llm.words import OTHER_SHARE, WORD, function_words, other_letters
 
 _MARK = re.compile(r"\s*(?:[-*•–·‣◦▪+>#]+|\(?\d{1,4}[.)]|\(?[A-Za-z][.)]|\d+ ?[x×])\s")
 _LOG = re.compile(r"\s*\[?(?:\d{4}-\d\d-\d\d|\d\d?[./]\d\d?[./]\d{4}|\d\d:\d\d)[ T,\]]")
 _LINK = re.compile(r"\s*(?:https?://|www\.)\S+\s*$", re.I)
 _CELL = re.compile(r"[|\t;,•·/»]|  +| [-–>] ")
 _CODE = re.compile(r"[{}=<>()\[\]\;_$^~`|@#*%&]")
-_END = re.compile(r"[.!?…:;,][\"'»”’)\]]*$")
-_STOP = re.compile(r"[.!?…][\"'»”’)\]]*$")
+_END = re.compile(r"[.!?…:;,。！？、][\"'»”’)\]」]*$")
+_STOP = re.compile(r"[.!?…。！？][\"'»”’)\]」]*$")
 _PAIR = re.compile(r"\s*\S+(?: \S+){0,2} ?:(?: \S+){0,2}\s*$")
 #: Lines of up to so many words without an end mark may be entries of a menu or list.
 SHORT_WORDS = 9
@@ -73,14 +73,18 @@ def _plain(line: Line) -> bool:
     return not (len(line.words) > 1 and len(_CELL.findall(text)) >= 0.6 * len(line.words))
 
 
-def _sentence(words: list[str], ended: bool) -> bool:
+def _sentence(words: list[str], ended: bool, known: bool) -> bool:
+    """Whether words are a sentence: by function words, in an unknown language by an end mark or their number."""
     if len(words) < 3:
         return ended
+    if not known and (ended or len(words) >= SHORT_WORDS):
+        return True
     return function_words(words)[0] >= LEAST_FUNCTION_WORDS * len(words)
 
 
 def judge(text: str) -> list[Line]:
     """The non-blank lines of a text, each marked as prose or not."""
+    known = text.isascii() or other_letters(text.lower()) < OTHER_SHARE * len(text)
     lines: list[Line] = []
     paragraph: list[Line] = []
     run: list[Line] = []
@@ -99,7 +103,7 @@ def judge(text: str) -> list[Line]:
         else:
             start = len(paragraph)
         for x in paragraph[:start]:
-            x.prose = _sentence(x.words, x.ended)
+            x.prose = _sentence(x.words, x.ended, known)
             n = x.text.count(" ") + 1
             if n <= SHORT_WORDS and not _END.search(x.text) or n <= 3:
                 run.append(x)
@@ -108,7 +112,7 @@ def judge(text: str) -> list[Line]:
         if start < len(paragraph):
             close_run()
             rest = paragraph[start:]
-            prose = _sentence([w for x in rest for w in x.words], rest[-1].ended)
+            prose = _sentence([w for x in rest for w in x.words], rest[-1].ended, known)
             for x in rest:
                 x.prose = prose
         paragraph.clear()

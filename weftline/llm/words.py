@@ -9,7 +9,7 @@ LANGS = ("en", "fr", "de", "es", "it")
 
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Frequent function words by language.
+#: Function words by language, chosen by hand: articles, prepositions, conjunctions, pronouns, auxiliaries, adverbs.
 FUNCTION_WORDS = {
     "en": "the a an of and in to is was that it for with on by at from this be are as or not but have has had he she they we his her their which can will there been were been than when while because if so into through under over between about after before until although its one everyone somebody nobody you your",
     "fr": "le la les l un une des du de d et à au aux en est sont n ne pas que qui dans par pour sur avec ce cette ces se s il elle ils plus mais ou où quand parce puisque alors sans sous chez entre jamais été depuis jusqu a fait près côté après avant derrière qu",
@@ -38,3 +38,14 @@ def function_words(words: list[str]) -> tuple[int, int]:
                 counts[i] += n
     most = max(counts)
     return (most, counts.index(most)) if most else (0, -1)
+
+
+#: Letters that the five languages are written with; and share of others from which a text is in none of them.
+LETTERS = "a-zàâäáæçéèêëíìîïñóòôöœúùûüßÿªº"
+OTHER_SHARE = 0.02
+_OTHER = re.compile(rf"[^\W\d_{LETTERS}]", re.I)
+
+
+def other_letters(lower: str) -> int:
+    """Letters of a lower-case text that none of the five languages uses."""
+    return 0 if lower.isascii() else len(_OTHER.findall(lower))
