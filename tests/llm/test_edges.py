@@ -100,10 +100,16 @@ def test_stuffing_spread_over_short_lines(spark):
     line = lambda w: (1, "p", 1, 6, 3, 0, 0, 0, 0, 0, 0, 1, None, None, w, None, None)
     rows = [([line([7, i, i + 100]) for i in range(8)],), ([line([i, i + 100]) for i in range(8)],)]
     df = spark.createDataFrame(rows, f"own array<{pages.BLOCK}>")
-    assert [r.s for r in df.select(pages.stuffed_share(bpe.F.col("own"), [pages.DEFAULTS] * 6).alias("s")).collect()] == [0.0, 0.0]
+    assert [r.s for r in df.select(pages.stuffed_share(bpe.F.col("own"), bpe.F.lit(0), [pages.DEFAULTS] * 6).alias("s")).collect()] == [0.0, 0.0]
     rows = [([line([7, 7, i]) for i in range(8)],)]
     df = spark.createDataFrame(rows, f"own array<{pages.BLOCK}>")
-    assert df.select(pages.stuffed_share(bpe.F.col("own"), [pages.DEFAULTS] * 6).alias("s")).first().s == 1.0
+    assert df.select(pages.stuffed_share(bpe.F.col("own"), bpe.F.lit(0), [pages.DEFAULTS] * 6).alias("s")).first().s == 1.0
+
+
+def test_out_links_tell_link_lists(spark):
+    block = (1, "p", 1, 10, 5, 0, 0, 55, 0, 0, 0, 1, None, None, None, None, None)
+    df = spark.createDataFrame([([block] * 3, 0), ([block] * 3, 30), ([], 30)], f"own array<{pages.BLOCK}>, n_out int")
+    assert [r.s for r in df.select(pages.stuffed_share(bpe.F.col("own"), bpe.F.col("n_out"), [pages.DEFAULTS] * 6).alias("s")).collect()] == [0.0, 1.0, 0.0]
 
 
 def test_thresholds_differ_by_language(spark, tmp_path):

@@ -23,7 +23,7 @@ def found(tmp_path_factory):
 
     def run(pages: list[tuple[str, str]]) -> dict[int, list[int]]:
         out = tmp_path_factory.mktemp("sf")
-        columns = {"fetch_id": list(range(len(pages))), "host": [h for h, _ in pages], "url": [f"http://{h}/{i}" for i, (h, _) in enumerate(pages)], "page": [p for _, p in pages]}
+        columns = {"fetch_id": list(range(len(pages))), "host": [h for h, _ in pages], "url": [f"http://{h}/{i}" for i, (h, _) in enumerate(pages)], "page": [p for _, p in pages], "outbound": pa.nulls(len(pages), pa.string())}
         pq.write_table(pa.table(columns), out / "crawl.parquet")
         rows = queries.p5_found(spark, str(out)).where("fetch_id < 8").collect()
         return {i: sorted(r.block_no for r in rows if r.fetch_id == i) for i in range(8)}

@@ -19,7 +19,7 @@ def sf_dir(tmp_path_factory):
     texts = [(t, n) for t, n in ((DE, "de"), (EN, "en"), (FR, "fr"))] * 40
     pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": [t for t, _ in texts], "lang": [n for _, n in texts]}), out / "documents.parquet")
     pages = [MIXED, "<html><body></body></html>", "<html><body><p>2024</p></body></html>"]
-    columns = {"fetch_id": [1, 2, 3], "host": ["a.example"] * 3, "url": [f"http://a.example/{i}" for i in range(3)], "page": pages}
+    columns = {"fetch_id": [1, 2, 3], "host": ["a.example"] * 3, "url": [f"http://a.example/{i}" for i in range(3)], "page": pages, "outbound": pa.nulls(len(pages), pa.string())}
     pq.write_table(pa.table(columns), out / "crawl.parquet")
     return str(out)
 

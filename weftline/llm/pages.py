@@ -46,7 +46,7 @@ SHORT_CHARS = 80
 _FIELDS = "no:int,path:string,top:int,n:int,f:int,l:int,o:int,lk:int,tw:int,bg:int,sp:int,rp:int,key:bigint,prefix:bigint,w:array<int>,s:array<int>"
 #: ``runs``: words, language (-1 for none) and mean probabilities of each run of pieces of one language.
 BLOCK = f"struct<{_FIELDS},runs:array<struct<n:int,lang:int,p:array<float>>>>"
-SCHEMA = f"fetch_id bigint, host string, url string, label string, best string, prose bigint, b array<{BLOCK}>"
+SCHEMA = f"fetch_id bigint, host string, url string, n_out int, label string, best string, prose bigint, b array<{BLOCK}>"
 
 #: Words of a block from which its top word, its top pair and its separators are judged, and lines that count as repeated.
 TOP_LEAST, PAIR_LEAST, SEPARATOR_LEAST, REPEATS = 12, 20, 6, 3
@@ -54,6 +54,9 @@ TOP_LEAST, PAIR_LEAST, SEPARATOR_LEAST, REPEATS = 12, 20, 6, 3
 DEFAULTS = (0.14, 0.2, 0.15, 0.6, 0.85)
 #: How a language's thresholds come from the shares in its sentences: quantile, factor and bounds of each.
 CALIBRATION = ((0.5, 0.4, 0.05, 0.3), (0.9, 2.5, 0.12, 0.3), (0.9, 2.5, 0.1, 0.25), (0.95, 4.0, 0.4, 0.6), (0.95, 4.0, 0.6, 0.85))
+#: A page with fewer words of its own than so many per packed out-link is dense with links: there, a block of
+#: half link text counts as bare links.
+DENSE_WORDS, DENSE_SHARE = 5, 50
 #: Blocks of a language from which its own thresholds hold.
 CALIBRATION_LEAST = 50
 _DIGITS = re.compile(r"\d+")
@@ -97,7 +100,25 @@ _short_pieces = lru_cache(1 << 14)(pieces_of)
 
 
 def _hash(text: str) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
+    """64 bits of a text, as a signed number."""
+    h = xxhash.xxh3_64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _keys(text: str, host: str, linked: bool) -> tuple[int | None, int | None]:
+    """Keys of a text and of its prefix, the site's name and numbers masked; none for texts of one or two words."""
+    site = _site(host)
+    short = site.sub("§", text) if site else text
+    key = prefix = None
+    if short.count(" ") >= 2:
+        # Link text has keys of its own: lists of links repeat the headings of other pages.
+        key = _hash(("\0" if linked else "") + _DIGITS.sub("0", short))
+    if m := _PREFIX.match(short):
+        prefix = _hash(m.group(1).lower())
+    return key, prefix
+
+
+_short_keys = lru_cache(1 << 15)(_keys)
 
 
 def _counts(text: str) -> tuple[int, int, int, int, int, int, int, int, list[int] | None]:
@@ -129,7 +150,7 @@ def features(page: str, host: str | None, stretches: bool = False, languages: bo
     times = Counter(b.text for b in found)
     times_path = Counter(b.path for b in found)
     direct = Counter(path for path, _ in {(b.path, b.node) for b in found})
-    site = _site(host or "")
+    host = host or ""
     rows, sentences = [], []
     prose: dict[str, int] = defaultdict(int)
     paths: dict[str, str] = {}
@@ -151,13 +172,7 @@ def features(page: str, host: str | None, stretches: bool = False, languages: bo
         share = 100 * b.linked // max(1, chars) if b.links else 0
         linked = share >= 100 * link_share
         separated = n >= SEPARATOR_LEAST and sp >= separator_share * n
-        key = prefix = None
-        short = site.sub("§", text) if site else text
-        if short.count(" ") >= 2:
-            # Link text has keys of its own: lists of links repeat the headings of other pages.
-            key = _hash(("\0" if linked else "") + _DIGITS.sub("0", short))
-        if m := _PREFIX.match(short):
-            prefix = _hash(m.group(1).lower())
+        key, prefix = (_short_keys if len(text) <= SHORT_CHARS else _keys)(text, host, linked)
         natural = n >= 8 and f >= 0.12 * n or other >= OTHER_SHARE * chars and chars >= 40 and _ENDED.search(text) is not None
         if natural and not (linked or separated or times[text] >= REPEATS or tw > 2 and tw >= top_share * n or n >= PAIR_LEAST and bg >= pair_share * n):
             total += chars
@@ -199,7 +214,7 @@ def _digest(model: LanguageModel | None, stretches: bool = False):
                 labels, bests, sizes, proses, flat = [], [], [0], [], []
                 sentences: list[list[str]] = []
                 counts: list[int] = []
-                for page, host in zip(part.column(3).to_pylist(), hosts.to_pylist()):
+                for page, host in zip(part.column(4).to_pylist(), hosts.to_pylist()):
                     rows, best, prose, found = features(page, host, stretches, model is not None)
                     labels.append(label(page))
                     bests.append(best)
@@ -227,8 +242,8 @@ def _digest(model: LanguageModel | None, stretches: bool = False):
                 arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [s, of_blocks]
                 b = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(arrays, names))
                 yield pa.record_batch(
-                    [ids, hosts, urls, pa.array(labels, pa.string()), pa.array(bests, pa.string()), pa.array(proses, pa.int64()), b],
-                    names=["fetch_id", "host", "url", "label", "best", "prose", "b"],
+                    [ids, hosts, urls, part.column(3), pa.array(labels, pa.string()), pa.array(bests, pa.string()), pa.array(proses, pa.int64()), b],
+                    names=["fetch_id", "host", "url", "n_out", "label", "best", "prose", "b"],
                 )
 
     return run
@@ -236,7 +251,7 @@ def _digest(model: LanguageModel | None, stretches: bool = False):
 
 def digest(crawl: DataFrame, model: LanguageModel | None = None, stretches: bool = False) -> DataFrame:
     """Blocks and features of every row with a page, written once to the shared folder."""
-    pages = crawl.where("page is not null").select("fetch_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("url", F.lit("")).alias("url"), "page")
+    pages = crawl.where("page is not null").select("fetch_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("n_out", F.lit(0)).cast("int").alias("n_out"), "page")
     return cut(pages.mapInArrow(_digest(model, stretches), SCHEMA))
 
 
@@ -325,7 +340,7 @@ def own_blocks(pages: DataFrame) -> DataFrame:
         .withColumn("__loose", F.when(F.col("__win").isNull(), loose))
         .withColumn("__top", F.array_max(sizes)["t"])
         .withColumn("own", F.filter(F.coalesce(body, F.array().cast(f"array<{BLOCK}>")), lambda x: ~site_text(x)))
-        .select("fetch_id", "url", "label", "own")
+        .select("fetch_id", "url", "n_out", "label", "own")
     )
 
 
@@ -351,14 +366,15 @@ def calibrate(own: DataFrame) -> list[tuple[float, ...]]:
     return [*out, DEFAULTS]
 
 
-def stuffed_share(own: Column, thresholds: list[tuple[float, ...]]) -> Column:
+def stuffed_share(own: Column, n_out: Column, thresholds: list[tuple[float, ...]]) -> Column:
     """Share of the words of a body that stand in blocks of keywords, bare links or tags; 0 for an empty body.
 
-    A text in none of the known languages is not judged by its function words.
+    ``n_out``: packed out-links of the page.  A text in none of the known languages is not judged by its function words.
     Lines under TOP_LEAST words are also judged together, by their top word.
     """
     total = lambda xs, c: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x[c])
     words = total(own, "n")
+    dense = words < DENSE_WORDS * n_out
     other = total(own, "o") >= OTHER_SHARE * 4 * words
 
     def least(i: int, x: Column) -> Column:
@@ -371,7 +387,7 @@ def stuffed_share(own: Column, thresholds: list[tuple[float, ...]]) -> Column:
             | ((n >= TOP_LEAST) & (x["tw"] > 2) & (x["tw"] >= least(1, x) * n))
             | ((n >= PAIR_LEAST) & (x["bg"] >= least(2, x) * n))
             | ((n >= SEPARATOR_LEAST) & (x["sp"] >= least(3, x) * n))
-            | (x["lk"] >= least(4, x) * 100)
+            | (x["lk"] >= F.when(dense, DENSE_SHARE).otherwise(least(4, x) * 100))
             | (x["rp"] >= REPEATS)
         )
 
@@ -393,13 +409,13 @@ def stuffed_share(own: Column, thresholds: list[tuple[float, ...]]) -> Column:
 
 
 def bodies(crawl: DataFrame, model: LanguageModel | None = None, stretches: bool = False) -> DataFrame:
-    """(fetch_id, url, label, own, stuffed) of every row of ``crawl`` that has a page.
+    """(fetch_id, url, n_out, label, own, stuffed) of every row of ``crawl`` that has a page.
 
-    ``crawl``: fetch_id, host, url, page.  Null hosts and urls count as empty,
+    ``crawl``: fetch_id, host, url, n_out (out-links), page.  Null hosts and urls count as empty,
     a page without text has an empty body; repeated rows stay.  With a model
     blocks have counts of sentences, or with ``stretches`` runs in their place.
     """
     parsed = digest(crawl, model, stretches)
     own = cut(own_blocks(parsed))
     release(parsed)
-    return own.withColumn("stuffed", stuffed_share(F.col("own"), calibrate(own)))
+    return own.withColumn("stuffed", stuffed_share(F.col("own"), F.col("n_out"), calibrate(own)))

@@ -65,7 +65,8 @@ LEAST_SENTENCES = 3
 
 def _bodies(spark: SparkSession, sf_dir: str, languages: bool = False, stretches: bool = False) -> DataFrame:
     model = langid.fit(table(spark, sf_dir, "documents")) if languages else None
-    return pages.bodies(table(spark, sf_dir, "crawl").select("fetch_id", "host", "url", "page"), model, stretches)
+    n_out = F.regexp_count("outbound", F.lit("(?i)https?:")).alias("n_out")
+    return pages.bodies(table(spark, sf_dir, "crawl").select("fetch_id", "host", "url", n_out, "page"), model, stretches)
 
 
 @query()
