@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from weftline.functions.hashing import base64_text
 from weftline.functions.text import ALNUM, is_valid, stems, title_words, tokens
+from weftline.operators.skew import salted_join
 from weftline.sources.tables import cut
 
 #: Fixed values of the weighting: base, damping by position, scale of one-word titles, divisor of words with other characters.
 BASE, DAMPING, TITLE_SCALE, DERANK = 0.4, 20, 12, 10
+#: Postings of a packed row, about.
+PER_ROW = 256
 
 
 def word_positions(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -85,6 +88,17 @@ def transposed(weights: DataFrame, doc: str) -> DataFrame:
 
 
 def pack(posted: DataFrame, url: str) -> DataFrame:
-    """(word, accumulated_value): the postings of each word as one string url:n_words:positions:base64(title), joined by commas."""
+    """(word, accumulated_value): postings packed as url:n_words:positions:base64(title), joined by commas in order.
+
+    A word has one row, or, with more than PER_ROW documents, one for each
+    prefix of the documents' SHA-1 of as many hex digits as keep rows near
+    PER_ROW: no row and no task gets all postings of a frequent word.
+    """
     one = F.concat_ws(":", F.col(url), F.col("n_words").cast("string"), F.array_join(F.transform("positions", lambda p: p.cast("string")), " "), base64_text("title"))
-    return posted.select("word", one.alias("p")).groupBy("word").agg(F.array_join(F.array_sort(F.collect_list("p")), ",").alias("accumulated_value"))
+    rows = cut(posted.select("word", F.col(url).cast("string").alias("__url"), one.alias("p")))
+    counts = cut(rows.groupBy("word").agg(F.count("*").alias("df")))
+    total = counts.agg(F.sum("df")).first()[0] or 0
+    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("df") / PER_ROW) / F.log(F.lit(16.0)))).cast("int")
+    spread = salted_join(rows, counts, ["word"], "df", int(total), F.col("__url"))
+    part = F.substring(F.sha1(F.col("__url").cast("binary")), F.lit(1), digits)
+    return spread.select("word", part.alias("part"), "p").groupBy("word", "part").agg(F.array_join(F.array_sort(F.collect_list("p")), ",").alias("accumulated_value")).drop("part")

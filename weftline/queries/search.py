@@ -92,8 +92,9 @@ def tf_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_DOCS} SELECT word, string_agg(p, ',' ORDER BY p) AS accumulated_value FROM (SELECT word,
-    CAST(doc_id AS VARCHAR) || ':' || CAST(n AS VARCHAR) || ':' || string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) || ':' AS p FROM occ GROUP BY word, doc_id, n) GROUP BY word"""
+    f"""WITH {_DOCS}, o AS (SELECT word, CAST(doc_id AS VARCHAR) AS d, CAST(doc_id AS VARCHAR) || ':' || CAST(n AS VARCHAR) || ':' || string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) || ':' AS p FROM occ GROUP BY word, doc_id, n),
+    c AS (SELECT word, CAST(greatest(0, ceil(ln(count(*) / {float(index.PER_ROW)}) / ln(16.0))) AS INTEGER) AS digits FROM o GROUP BY word)
+    SELECT word, accumulated_value FROM (SELECT word, substr(sha1(d), 1, digits) AS part, string_agg(p, ',' ORDER BY p) AS accumulated_value FROM o JOIN c USING (word) GROUP BY 1, 2)"""
 )
 def packed_postings(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
