@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.functions.hashing import url_key
-from weftline.functions.web import canonical_url
 from weftline.plans import index, rank, search
 from weftline.queries.registry import Registry, quoted
 from weftline.queries.web import LATEST_SQL, latest_pages
