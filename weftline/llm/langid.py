@@ -31,6 +31,7 @@ TRAIN_SENTENCES = 6
 CACHE_WORDS = 200_000
 
 _CODE = re.compile(r"\w*\d\w*")
+_DIGIT = re.compile(r"\d")
 #: Stretches up to and with their end marks; linear also in a text without any.
 _PIECE = re.compile(r"[^.!?…]+[.!?…]*")
 
@@ -76,7 +77,8 @@ class LanguageModel:
         sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
         sums = np.zeros((len(sentences), len(LANGS)), np.float64)
         if ids:
-            np.add.at(sums, np.repeat(np.arange(len(sentences)), sizes), self._scores[ids])
+            some = np.flatnonzero(sizes)
+            sums[some] = np.add.reduceat(self._scores[ids].astype(np.float64), (np.cumsum(sizes) - sizes)[some], axis=0)
         logits = (sums / np.maximum(sizes, 1)[:, None] + self.bias) / self.temperature
         logits[sizes == 0] = 0
         e = np.exp(logits - logits.max(1, keepdims=True))
@@ -84,11 +86,17 @@ class LanguageModel:
 
 
 def _words(text: str) -> list[str]:
-    return WORD.findall(_CODE.sub(" ", text.lower()))
+    lower = text.lower()
+    return WORD.findall(_CODE.sub(" ", lower) if _DIGIT.search(lower) else lower)
 
 
 def _enough(words: list[str]) -> bool:
-    return len(words) >= 3 and sum(len(w) > 1 for w in words) >= 3
+    n = 0
+    for w in words:
+        n += len(w) > 1
+        if n == 3:
+            return True
+    return False
 
 
 def sentences_of(text: str) -> list[list[str]]:
