@@ -48,6 +48,9 @@ _FIELDS = "no:int,path:string,top:int,n:int,f:int,l:int,o:int,lk:int,tw:int,bg:i
 BLOCK = f"struct<{_FIELDS},runs:array<struct<n:int,lang:int,p:array<float>>>>"
 SCHEMA = f"fetch_id bigint, host string, url string, n_out int, label string, best string, prose bigint, b array<{BLOCK}>"
 
+#: Columns with the distinct keys and prefixes of a page.
+_LISTS = {"key": "keys", "prefix": "prefixes"}
+
 #: Words of a block from which its top word, its top pair and its separators are judged, and lines that count as repeated.
 TOP_LEAST, PAIR_LEAST, SEPARATOR_LEAST, REPEATS = 12, 20, 6, 3
 #: Thresholds of a language with too few blocks, also those of the votes: share of function words, top word, top pair, separators, link text.
@@ -252,7 +255,11 @@ def _digest(model: LanguageModel | None, stretches: bool = False):
 def digest(crawl: DataFrame, model: LanguageModel | None = None, stretches: bool = False) -> DataFrame:
     """Blocks and features of every row with a page, written once to the shared folder."""
     pages = crawl.where("page is not null").select("fetch_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("n_out", F.lit(0)).cast("int").alias("n_out"), "page")
-    return cut(pages.mapInArrow(_digest(model, stretches), SCHEMA))
+    parsed = pages.mapInArrow(_digest(model, stretches), SCHEMA)
+    # Columns of their own, as a scan cannot read one field of the blocks alone.
+    distinct = lambda field: F.array_distinct(F.filter(F.transform("b", lambda x: x[field]), lambda k: k.isNotNull())).alias(_LISTS[field])
+    areas = F.array_distinct(F.transform("b", lambda x: F.get(F.split(x["path"], ">"), F.lit(1)))).alias("areas")
+    return cut(parsed.select("*", distinct("key"), distinct("prefix"), areas))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -266,9 +273,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
     won = salted_join(votes, totals, ["host"], "__n", votes.count(), F.col("best")).where(F.col("votes") >= WIN_SHARE * F.col("all_votes"))
     # Negated votes sort the most voted first, equal votes by path.
     winners = won.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("v"), "best"))), lambda x: x["best"]).alias("winners"))
-    areas = F.array_distinct(F.transform("b", lambda x: F.get(F.split(x["path"], ">"), F.lit(1))))
     sizes = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
-    named = pages.select("host", F.explode(F.filter(areas, lambda a: a.contains(".") | a.isin("nav", "footer", "header", "aside"))).alias("area"))
+    named = pages.select("host", F.explode(F.filter("areas", lambda a: a.contains(".") | a.isin("nav", "footer", "header", "aside"))).alias("area"))
     areas_ = cut(named.groupBy("host", "area").agg(F.count("*").alias("c")))
     per_host = areas_.groupBy("host").agg(F.count("*").alias("__n")).join(sizes, "host")
     # On hosts of one or two pages any class recurs, so only the elements that name themselves count there.
@@ -280,7 +286,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def furniture(pages: DataFrame, field: str, n_pages: int) -> list[int]:
     """Keys of texts that recur on FURNITURE_SHARE of all pages: at most (keys a page) / share of them."""
     least = max(FURNITURE_LEAST, FURNITURE_SHARE * n_pages)
-    keys = pages.select("url", F.explode(F.array_distinct(F.transform("b", lambda x: x[field]))).alias("key")).where("key is not null")
+    keys = pages.select("url", F.explode(_LISTS[field]).alias("key"))
     return [r["key"] for r in keys.distinct().groupBy("key").count().where(F.col("count") >= least).select("key").collect()]
 
 
@@ -290,8 +296,7 @@ def site_furniture(pages: DataFrame) -> DataFrame:
     Occurrences are counted by distinct page text and by distinct url, the lower
     count holds: copies of a page and new fetches of it are no recurrence.
     """
-    keyed = pages.select("host", "url", F.array_distinct(F.filter(F.transform("b", lambda x: x["key"]), lambda k: k.isNotNull())).alias("keys"))
-    keyed = keyed.withColumn("text", F.xxhash64("keys"))
+    keyed = pages.select("host", "url", "keys").withColumn("text", F.xxhash64("keys"))
     sizes = keyed.groupBy("host").agg(F.countDistinct("url").alias("urls"))
     rows = keyed.select("host", F.explode("keys").alias("key"), "url", "text")
     by = [rows.select("host", "key", x).distinct().groupBy("host", "key").agg(F.count("*").alias(f"n_{x}")) for x in ("url", "text")]
@@ -312,9 +317,9 @@ def own_blocks(pages: DataFrame) -> DataFrame:
     texts = F.coalesce(F.length(F.array_join(F.concat(F.coalesce("winners", F.array().cast("array<string>")), F.coalesce("frame", F.array().cast("array<string>"))), " ")), F.lit(0))
     n_bytes = hosts.agg(F.sum(F.length("host") + 4 * texts + 8 * F.coalesce(F.size("site_keys"), F.lit(0)) + 64)).first()[0] or 0
     if n_bytes <= BROADCAST_BYTES:
-        joined = pages.join(F.broadcast(hosts), "host", "left")
+        joined = pages.drop("keys", "prefixes", "areas").join(F.broadcast(hosts), "host", "left")
     else:
-        joined = salted_join(pages, hosts, ["host"], "n_pages", n_pages, F.col("fetch_id"), "left")
+        joined = salted_join(pages.drop("keys", "prefixes", "areas"), hosts, ["host"], "n_pages", n_pages, F.col("fetch_id"), "left")
 
     def under(path: Column, winner: Column) -> Column:
         return (path == winner) | path.startswith(F.concat(winner, F.lit(">")))
