@@ -32,7 +32,10 @@ HEAD_WORDS = 65_536
 LONG_BYTES = 128
 #: Steps of the histogram of word counts for every doubling.
 COUNT_STEPS = 8
+#: Over all places in a word that is folded, a power of two.
+_STARTS = 1 << LONG_BYTES.bit_length()
 _SLOT = 1 << 16
+_HIGH = 1 << 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -75,42 +78,53 @@ def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _fold(word: Column, rank) -> Column:
-    """Ids of a word (string column) by a fold over its bytes.
+def _fold(word: Column, rank, none: int) -> Column:
+    """Ids of a word (string column of 2 to ``LONG_BYTES`` bytes) by a fold over its bytes.
 
-    The state has the parts, the rank of every adjacent pair and the place of
-    the lowest; a merge looks up the two pairs that it changes.
+    The state is one array of ints: for every part the rank of the pair that it
+    begins (``none``, above all ranks, without one) times ``_STARTS`` plus the
+    byte at which it begins, so the least is the leftmost of the lowest rank.
+    Parts that begin at the word's end fill it up.  A merge moves the parts
+    behind it up by one and looks up the two pairs that it changes.
     """
-    raw = word.cast("binary")
-    parts = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(raw, i, F.lit(1)))
-    none = F.array().cast("array<bigint>")
+    if (none + 1) * _STARTS > 1 << 31:
+        raise ValueError("ids too large for the state of the fold")
+    raw, n, one = word.cast("binary"), F.octet_length(word), F.lit(1)
+    done = F.lit(none * _STARTS)
 
     def bind(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def state(p: Column, ranks: Column) -> Column:
-        lowest = lambda r: F.array_min(F.transform(r, lambda x, i: x * F.lit(_SLOT) + i))
-        return bind(ranks, lambda r: F.struct(p.alias("p"), r.alias("r"), lowest(r).alias("m")))
+    def start(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(_STARTS - 1))
 
-    def first(p: Column) -> Column:
-        return state(p, F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(F.concat(x, F.get(p, i + 1)))))
+    def of(begin: Column, size: Column) -> Column:
+        return rank(F.substring(raw, begin + one, size))
 
-    def merged(p: Column, r: Column, i: Column, new: Column) -> Column:
-        left = F.when(i > 0, F.array(rank(F.concat(F.get(p, i - 1), new)))).otherwise(none)
-        right = F.when(i + 2 < F.size(p), F.array(rank(F.concat(new, F.get(p, i + 2))))).otherwise(none)
-        return state(
-            F.concat(F.slice(p, F.lit(1), i), F.array(new), F.slice(p, i + 3, F.size(p))),
-            F.concat(F.slice(r, F.lit(1), F.greatest(i - 1, F.lit(0))), left, right, F.slice(r, i + 3, F.size(p))),
-        )
+    def pair(begin: Column, size: Column) -> Column:
+        return F.coalesce(of(begin, size), F.lit(none)) * F.lit(_STARTS) + begin
 
-    def step(acc: Column, _: Column) -> Column:
-        p, r = acc["p"], acc["r"]
-        at = F.pmod(acc["m"], F.lit(_SLOT)).cast("int")
-        go = bind(at, lambda i: bind(F.concat(F.get(p, i), F.get(p, i + 1)), lambda new: merged(p, r, i, new)))
-        return F.when(acc["m"].isNull(), acc).otherwise(go)
+    pairs = F.transform(F.sequence(F.lit(0), n - F.lit(2)), lambda i: pair(i, F.lit(2)))
+    first = F.concat(pairs, F.array(done + n - one, done + n, done + n))
 
-    steps = F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2)))
-    return F.transform(F.aggregate(steps, bind(parts, first), step, lambda acc: acc["p"]), rank)
+    def merged(v: Column, h: Column, i: Column) -> Column:
+        end = start(F.get(v, i + F.lit(2)))
+        new = lambda x: F.when(end < n, pair(start(x), start(F.get(v, i + F.lit(3))) - start(x))).otherwise(done + start(x))
+        left = lambda x: pair(start(x), end - start(x))
+        behind = lambda x, j: F.coalesce(F.get(v, j + one), x)
+        return F.transform(v, lambda x, j: F.when(j < h, x).when(j > i, behind(x, j)).when(j == i, new(x)).otherwise(left(x)))
+
+    def step(v: Column, _: Column) -> Column:
+        least = F.array_min(v)
+        at = F.array_position(v, least).cast("int") - one
+        go = bind(at, lambda i: bind(i - one, lambda h: merged(v, h, i)))
+        return F.when(least >= done, v).otherwise(go)
+
+    def ids(v: Column) -> Column:
+        parts = F.filter(v, lambda x: start(x) < n)
+        return F.transform(parts, lambda x, i: of(start(x), start(F.get(v, i + one)) - start(x)))
+
+    return F.aggregate(F.sequence(F.lit(2), n), first, step, ids)
 
 
 def words(text: Column) -> Column:
@@ -124,13 +138,13 @@ class Encoder:
     def __init__(self, spark: SparkSession, path: str = f"{TOKENIZERS}/{VOCABULARY}"):
         self.spark, self.ranks = spark, load_ranks(path)
         keys = list(self.ranks)
-        table = map_literal(spark, keys, pa.array([self.ranks[k] for k in keys], pa.int64()))
+        table = map_literal(spark, keys, pa.array([self.ranks[k] for k in keys], pa.int32()))
         self._rank = lambda x: lookup(table, x)
 
     def _word(self, word: Column) -> Column:
-        """Ids (bigint) of a short word: itself if it is one token, else the fold."""
+        """Ids (int) of a short word: itself if it is one token, else the fold."""
         whole = self._rank(word.cast("binary"))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_fold(word, self._rank))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(_fold(word, self._rank, max(self.ranks.values()) + 1))
 
     def _head(self, words_: DataFrame) -> Column:
         """Ids of the most frequent words of the column ``w`` as a literal, folded once.
@@ -148,7 +162,7 @@ class Encoder:
                 break
             left -= n
         chosen = (level > last) | ((level == last) & (F.pmod(F.xxhash64("w"), F.lit(_SLOT)) < part))
-        head = counts.where(chosen).select("w", self._word(F.col("w")).cast("array<int>").alias("ids")).toArrow()
+        head = counts.where(chosen).select("w", self._word(F.col("w")).alias("ids")).toArrow()
         release(counts)
         return map_literal(self.spark, [w.encode() for w in head["w"].to_pylist()], head["ids"].combine_chunks())
 
@@ -171,24 +185,28 @@ class Encoder:
         docs = docs.withColumn("__long", merge_long(sparse))
 
         def of(w: Column, i: Column) -> Column:
-            return F.coalesce(lookup(table, w.cast("binary")), F.get("__long", i), self._word(w).cast("array<int>"))
+            return F.coalesce(lookup(table, w.cast("binary")), F.get("__long", i), self._word(w))
 
         return docs.withColumn(ids, F.flatten(F.transform("__words", of))).drop("__words", "__long")
 
     def tokens_within(self, ids: Column, n_bytes: Column) -> Column:
-        """Number of leading ids whose bytes all lie in the first ``n_bytes`` of the text."""
+        """Number of leading ids whose bytes all lie in the first ``n_bytes`` of the text.
+
+        The state is one bigint, bytes left times ``_HIGH`` plus ids so far; at
+        the first id that doesn't fit, nothing is left.
+        """
         lengths = [0] * (max(self.ranks.values()) + 1)
         for k, v in self.ranks.items():
-            lengths[v] = len(k)
-        table = array_literal(self.spark, pa.array(lengths, pa.int32()))
-        # Every id has a byte or more, so the first n_bytes ids are enough.
-        start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+            lengths[v] = len(k) * _HIGH
+        table = array_literal(self.spark, pa.array(lengths, pa.int64()))
 
         def step(acc: Column, i: Column) -> Column:
-            end = acc["end"] + F.get(table, i)
-            return F.struct(end.alias("end"), (acc["n"] + (end <= n_bytes).cast("int")).alias("n"))
+            fits = F.get(table, i) <= acc
+            return F.when(acc < F.lit(_HIGH), acc).when(fits, acc - F.get(table, i) + F.lit(1)).otherwise(acc.bitwiseAND(F.lit(_HIGH - 1)))
 
-        return F.aggregate(F.slice(ids, F.lit(1), n_bytes), start, step, lambda acc: acc["n"])
+        # Every id has a byte or more, so the first n_bytes ids are enough.
+        start = n_bytes.cast("bigint") * F.lit(_HIGH)
+        return F.aggregate(F.slice(ids, F.lit(1), n_bytes), start, step, lambda acc: acc.bitwiseAND(F.lit(_HIGH - 1)).cast("int"))
 
     def decode(self, ids: Column) -> Column:
         """The text of a list of ids: binary pieces concatenated; '' for the empty list, null for null."""
